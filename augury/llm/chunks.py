@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import mix
 
-LEAST, NORMAL, MOST = 16, 64, 512
+LEAST, NORMAL, MOST = 8, 32, 256
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_HARD, _EASY = np.uint64(0xFF << 56), np.uint64(0xF << 60)
+_HARD, _EASY = np.uint64(0x7F << 57), np.uint64(0x7 << 61)
 
 
 def _gear(data: bytes) -> np.ndarray:

@@ -90,7 +90,7 @@ def _read(batches):
                 raise ValueError("a WARC file's records do not reach its end")
             out = []
             for start, body, end in kept:
-                h = {k.lower(): v.decode("utf-8", "replace") for k, v in _HEAD.findall(data[start + len(MAGIC) : body])}
+                h = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _HEAD.findall(data[start + len(MAGIC) : body])}
                 urn = lambda x: None if x is None or not (n := x[10:-1]).lstrip("-").isdigit() else int(n)
                 kind, block = h["warc-type"], data[body:end]
                 digest, size = h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-bytes"])
