@@ -6,7 +6,6 @@ best normalised kernel value of its words with each landmark, mapped by the land
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from itertools import product
 
@@ -18,29 +17,40 @@ from pyspark.sql import functions as F
 #: A model is fitted on at most so many labelled rows, chosen by hash; scoring covers every row.
 MAX_TRAIN, LANDMARKS, DECAY, THRESHOLD = 6000, 96, 0.5, 0.3
 _STEPS = list(product((1, 2), repeat=3))
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_TOP = np.uint64(44)
+#: Characters of one array pass; a longer text is a pass of its own.
+_PASS = 400_000
+_TRIM = "\"'.,;:!?()[]{}|%$&*#"
 
 
-def _stream(text) -> np.ndarray:
-    words = (text or "").lower().split() if isinstance(text, str) else []
-    words = [w for w in (x.strip("\"'.,;:!?()[]{}|%$&*#") for x in words) if w]
-    return np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
+def _words(text) -> str:
+    words = text.lower().split() if isinstance(text, str) else []
+    return " " + "".join(w + " " for w in (x.strip(_TRIM) for x in words) if w)
 
 
-def _grams(c: np.ndarray):
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def _grams(c: np.ndarray, wanted: np.ndarray | None = None):
     """(start position, hash, weight) of the subsequences of each step pattern that do not cross a blank."""
     blank = np.cumsum(c == 32)
+    terms = [c * m for m in _MULT]
     for a, b, d in _STEPS:
-        n = len(c) - a - b - d
+        span = a + b + d
+        n = len(c) - span
         if n <= 0:
             continue
-        h = c[:n]
-        for at in (a, a + b, a + b + d):
-            h = (h ^ c[at : at + n]) * _PRIME
-            h = h ^ (h >> np.uint64(29))
-        inside = blank[a + b + d - 1 : a + b + d - 1 + n] == blank[:n]
-        at = np.flatnonzero(inside)
-        yield at, h[at], DECAY ** (a + b + d - 3)
+        h = terms[0][:n] + terms[1][a : a + n] + terms[2][a + b : a + b + n] + terms[3][span : span + n]
+        at = np.arange(n) if wanted is None else np.flatnonzero(wanted[h >> _TOP])
+        at = at[blank[at + span - 1] == blank[at]]
+        yield at, h[at], DECAY ** (span - 3)
+
+
+def _norms(lengths: np.ndarray) -> np.ndarray:
+    """Root of the summed squared weights of words of these lengths (both blanks counted)."""
+    return np.sqrt(sum(np.maximum(lengths - sum(s), 0) * DECAY ** (2 * (sum(s) - 3)) for s in _STEPS))
 
 
 class Landmarks:
@@ -49,7 +59,7 @@ class Landmarks:
         rows = []
         for j, w in enumerate(words):
             got: Counter = Counter()
-            for at, h, weight in _grams(_stream(w)):
+            for _, h, weight in _grams(_codes(_words(w)).astype(np.uint64)):
                 for x in h.tolist():
                     got[x] += weight
             norm = sum(v * v for v in got.values()) ** 0.5 or 1.0
@@ -59,20 +69,30 @@ class Landmarks:
         self.col = np.array([r[1] for r in rows], np.int64)
         self.val = np.array([r[2] for r in rows])
         self.keys, self.first, self.count = np.unique(self.hash, return_index=True, return_counts=True)
-        self.bits = np.zeros(1 << 16, bool)
-        self.bits[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
-
-    def best(self, text) -> np.ndarray:
-        """Greatest normalised kernel value over the words of a text, per landmark."""
-        c, m = _stream(text), len(self.words)
-        if len(c) <= 2 or not len(self.keys):
-            return np.zeros(m)
-        word = np.cumsum(c == 32)
-        norm, cells, adds = np.zeros(word[-1] + 1), [], []
-        for at, h, weight in _grams(c):
-            norm += np.bincount(word[at], minlength=len(norm)) * weight**2
-            hit = self.bits[(h & np.uint64(0xFFFF)).astype(np.int64)]
-            at, h = at[hit], h[hit]
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[self.keys >> _TOP] = True
+
+    def best(self, texts) -> np.ndarray:
+        """Greatest normalised kernel value over the words of each text, per landmark."""
+        out, m = np.zeros((len(texts), len(self.words))), len(self.words)
+        rows, size = [], 0
+        for i, t in enumerate(texts):
+            rows.append(_words(t))
+            size += len(rows[-1])
+            if size >= _PASS or i + 1 == len(texts):
+                if m:
+                    self._pass(rows, out[i + 1 - len(rows) : i + 1])
+                rows, size = [], 0
+        return out
+
+    def _pass(self, rows: list[str], out: np.ndarray) -> None:
+        c, m = _codes("".join(rows)).astype(np.uint64), len(self.words)
+        doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        blanks = np.flatnonzero(c == 32)
+        word = np.cumsum(c == 32) - 1
+        norm = _norms(np.diff(blanks, append=len(c)) + 1)
+        cells, adds = [], []
+        for at, h, weight in _grams(c, self.bits):
             k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             ok = self.keys[k] == h
             at, k = at[ok], k[ok]
@@ -80,28 +100,26 @@ class Landmarks:
             src = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             cells.append(np.repeat(word[at], n) * m + self.col[src])
             adds.append(self.val[src] * weight)
-        out = np.zeros(m)
         if cells and len(cell := np.concatenate(cells)):
             cell, back = np.unique(cell, return_inverse=True)
-            value = np.bincount(back, np.concatenate(adds)) / np.sqrt(norm[cell // m])
-            np.maximum.at(out, cell % m, np.minimum(value, 1.0))
-        return out
+            value = np.bincount(back, np.concatenate(adds)) / np.maximum(norm[cell // m], 1e-9)
+            np.maximum.at(out, (doc[blanks[cell // m]], cell % m), np.minimum(value, 1.0))
 
 
 class Model:
     def __init__(self, landmarks: Landmarks, root: np.ndarray, weights: np.ndarray, platt: tuple[float, float]):
         self.landmarks, self.root, self.weights, self.platt = landmarks, root, weights, platt
 
-    def score(self, text) -> float:
-        z = np.append(self.landmarks.best(text) @ self.root, 1.0) @ self.weights
-        return float(1 / (1 + np.exp(-np.clip(self.platt[0] * z + self.platt[1], -30, 30))))
+    def score(self, texts) -> np.ndarray:
+        z = self.landmarks.best(texts) @ self.root @ self.weights[:-1] + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(self.platt[0] * z + self.platt[1], -30, 30)))
 
 
 def _choose(texts, y, n: int) -> list[str]:
     """Words and word beginnings of training texts, by signed G statistic over documents; then frequent common words."""
     seen = {0: Counter(), 1: Counter()}
     for t, label in zip(texts, y):
-        words = {w for w in bytes(_stream(t).astype(np.uint32)).decode("utf-32-le").split()}
+        words = set(_words(t).split())
         heads = {w[:k] for w in words for k in (5, 7) if len(w) > k}
         seen[label].update(words | heads)
     pos, neg = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
@@ -113,7 +131,7 @@ def _choose(texts, y, n: int) -> list[str]:
             gain[w] = a * np.log(a / e) + (b * np.log(b / (total - e)) if b else 0)
     out: list[str] = []
     for w in sorted(gain, key=lambda w: (-gain[w], w)):
-        if len(out) < n * 3 // 4 and len(w) >= 3:
+        if len(out) < n * 11 // 12 and len(w) >= 3:
             out.append(w)
     for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])):
         if len(out) < n and len(w) >= 4 and w not in out:
@@ -125,13 +143,11 @@ def fit(texts, y, n: int = LANDMARKS) -> Model:
     y = np.asarray(y, int)
     marks = Landmarks(_choose(texts, y, n))
     m = len(marks.words)
-    kernel = np.zeros((m, m))
-    for i in range(m):
-        kernel[i] = marks.best(marks.words[i])
+    kernel = marks.best(marks.words)
     kernel = (kernel + kernel.T) / 2
     value, vector = np.linalg.eigh(kernel) if m else (np.zeros(0), np.zeros((0, 0)))
     root = (vector / np.sqrt(np.maximum(value, 0.05))) @ vector.T if m else kernel
-    x = np.array([np.append(marks.best(t) @ root, 1.0) for t in texts]).reshape(len(texts), m + 1)
+    x = np.hstack([marks.best(texts) @ root, np.ones((len(texts), 1))])
     sign, w = 2 * y - 1.0, np.zeros(m + 1)
     ridge = np.eye(m + 1) * 0.2
     ridge[-1, -1] = 1e-6
@@ -167,8 +183,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Null and empty texts get the score of no evidence."""
     def run(batches):
         for pdf in batches:
-            s = np.array([model.score(t) for t in pdf["text"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": s})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.score(pdf["text"].tolist())})
 
     out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
     held = F.coalesce(F.expr("pmod(crc32(cast(doc_id as string)), 4) = 2"), F.lit(False))
@@ -177,5 +192,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with their columns."""
-    likely = F.pandas_udf(lambda s: pd.Series([model.score(t) for t in s], dtype=float), "double")
+    likely = F.pandas_udf(lambda s: pd.Series(model.score(s.tolist())), "double")
     return docs.filter(likely(F.col("text")) < THRESHOLD)
