@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -47,17 +48,17 @@ def _each(fn, *cols):
     return pd.Series([None if any(pd.isna(x) for x in row) else fn(*row) for row in zip(*cols)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_p(stat: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t; null where either is null or df < 1."""
     return _each(lambda t, n: t_both(t, n) if n >= 1 else None, stat, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_upper(stat: pd.Series) -> pd.Series:
     return _each(lambda z: math.erfc(z / math.sqrt(2)) / 2, stat)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def binomial_upper(hits: pd.Series, n: pd.Series, rate: pd.Series) -> pd.Series:
     return _each(lambda k, m, p: binomial_least(int(k), int(m), p), hits, n, rate)

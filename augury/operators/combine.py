@@ -45,12 +45,11 @@ def asof_lags(low: DataFrame, high: DataFrame, keys: list[str], lags: int, weigh
     return u.select(*keys, "ds", out.alias("v")).filter("v is not null")
 
 
-def anchored(df: DataFrame, anchor: str, size: int = 4) -> DataFrame:
+def anchored(df: DataFrame, anchor: str) -> DataFrame:
     """Batches (``batch``, keyword, pidx, v) on batch 0's scale by the mean of the anchor's values over zero; the anchor stays once."""
     means = df.filter((F.col("keyword") == anchor) & (F.col("v") > 0)).groupBy("batch").agg(F.avg("v").alias("m"))
-    first = means.filter("batch = 0").select(F.col("m").alias("m0"))
-    # One row per batch of `size` keywords: small beside the values, and joined by its key whatever its size.
-    scale = means.join(F.broadcast(first), F.lit(True), "left").select("batch", F.coalesce(F.try_divide("m0", "m"), F.lit(1.0)).alias("r"))
+    first = means.filter("batch = 0").select(F.lit(0).alias("one"), F.col("m").alias("m0"))
+    scale = means.withColumn("one", F.lit(0)).join(F.broadcast(first), "one", "left").select("batch", F.coalesce(F.try_divide("m0", "m"), F.lit(1.0)).alias("r"))
     out = df.filter((F.col("keyword") != anchor) | (F.col("batch") == 0)).join(scale, "batch", "left")
     return out.select("keyword", "pidx", (F.col("v") * F.coalesce("r", F.lit(1.0))).alias("v"))
 
@@ -78,17 +77,17 @@ def expand(related: DataFrame, per_seed: int = 10) -> DataFrame:
 
 
 def salience(df: DataFrame, entity: str) -> DataFrame:
-    """Attention shares of entities: last four weeks, the four before, and the last four without the loudest of them."""
+    """Attention shares of entities: last four weeks, the four before (the first four, where there are under eight), and the last four without the loudest of them."""
     total = Window.partitionBy("pidx")
     d = df.withColumn("_t", F.sum("v").over(total)).withColumn("share", F.try_divide("v", "_t"))
     weeks = df.groupBy("pidx").agg(F.sum("v").alias("t")).orderBy(F.desc("pidx")).limit(8)  # a report on the last eight weeks
     weeks = weeks.withColumn("_b", F.row_number().over(Window.orderBy(F.desc("pidx"))))
     spike = Window.orderBy(F.when(F.col("_b") <= 4, F.col("t")).desc_nulls_last(), "pidx")
-    weeks = weeks.withColumn("_k", F.row_number().over(spike)).select("pidx", "_b", "_k")
+    weeks = weeks.withColumn("_k", F.row_number().over(spike)).withColumn("_n", F.count("*").over(Window.partitionBy())).select("pidx", "_b", "_k", "_n")
     d = d.join(F.broadcast(weeks), "pidx")
     pick = lambda c: F.round(F.avg(F.when(c, F.col("share"))), 3)
     return d.groupBy(entity).agg(
-        pick(F.col("_b") <= 4).alias("last4"), pick(F.col("_b") > 4).alias("prev4"), pick((F.col("_b") <= 4) & (F.col("_k") > 1)).alias("ex_spike"))
+        pick(F.col("_b") <= 4).alias("last4"), pick(F.col("_b") > F.col("_n") - 4).alias("prev4"), pick((F.col("_b") <= 4) & (F.col("_k") > 1)).alias("ex_spike"))
 
 
 def correlations(df: DataFrame, key: str) -> DataFrame:

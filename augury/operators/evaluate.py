@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,7 +96,7 @@ def rolling_coverage(preds: DataFrame, keys: list[str], recent: int = 36, alpha:
     w = Window.partitionBy(*keys, "model").orderBy("pidx").rowsBetween(-recent, -1)
     e = F.abs(F.col("y") - F.col("p"))
     d = preds.withColumn("_e", e).withColumn("_a", F.array_sort(F.collect_list("_e").over(w))).filter(F.size("_a") == recent)
-    k = min(max(-int(-((1 - alpha) * (recent + 1)) // 1) - 1, 0), recent - 1)
+    k = min(max(math.ceil((1 - alpha) * (recent + 1)) - 1, 0), recent - 1)
     return d.groupBy(*keys, "model").agg(F.count("*").alias("n"), F.avg((F.col("_e") <= F.element_at("_a", k + 1)).cast("double")).alias("coverage"))
 
 
