@@ -41,7 +41,7 @@ def manual_csv(spark: SparkSession, path: str) -> DataFrame:
 
     The preamble is what stands before the line that starts with a period's name. Each file is read as one text, since
     lines have no order in a split file; such downloads have some hundred lines."""
-    text = spark.read.option("wholetext", True).text(path).select(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n").alias("lines"))
+    text = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n").alias("lines"))
     head = r"(?i)^\"?(week|month|day|time|date)\b"
     d = text.withColumn("at", F.array_position(F.transform("lines", lambda x: x.rlike(head)), True)).filter("at > 0")
     d = d.select(F.split(F.element_at("lines", F.col("at").cast("int")), ",").alias("names"), F.explode(F.expr("slice(lines, int(at + 1), size(lines))")).alias("line"))
