@@ -3,10 +3,11 @@
 A record's header and payload are one string, and the record ends with the format's two line ends, which is the
 writer's line separator; so task commits and retries are Spark's. On reading, every place that looks like a record start is a candidate
 with the offset of its successor; pointer jumping from the file's start keeps only the reachable ones, so that payloads holding whole
-records cannot pass as such. Files hold a bounded number of records."""
+records cannot pass as such. Files are compressed as .gz and hold a bounded number of records."""
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 
@@ -53,7 +54,7 @@ def records(planned: DataFrame):
 
 def write(pages: DataFrame, path: str) -> None:
     out = records(plan(pages))
-    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).text(path)
+    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
 
 
 def chain(data: bytes) -> tuple[list[tuple[int, int, int]], bool]:
@@ -85,6 +86,7 @@ def _read(batches):
     names = ["page_id", "uri", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
     for pdf in batches:
         for data in pdf["content"]:
+            data = gzip.decompress(data)
             kept, whole = chain(data)
             if not whole:
                 raise ValueError("a WARC file's records do not reach its end")
