@@ -10,22 +10,30 @@ from pyspark.sql import functions as F
 RATIO, LEAST = 0.02, 5
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """(host, line hash, pages, total): lines on at least ``least`` pages and over ``ratio`` of the host's pages."""
+def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST, copies: bool = True) -> DataFrame:
+    """(host, line hash, pages, total): lines on at least ``least`` pages and over ``ratio`` of the host's pages.
+
+    Without ``copies``, pages of a host with the same lines (blank ones and outer spaces aside) are one page in both counts."""
     site = F.coalesce(F.col(host).cast("string"), F.lit(""))
     body = F.split(F.coalesce("text", F.lit("")), "\n")
     hashes = F.array_distinct(F.transform(F.filter(body, lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x))))
-    totals = docs.groupBy(site.alias("site")).agg(F.count("*").alias("total"))
-    pages = docs.select(site.alias("site"), F.explode(hashes).alias("line")).groupBy("site", "line").agg(F.count("*").alias("pages"))
+    seen = docs.select(site.alias("site"), hashes.alias("lines"))
+    if copies:
+        totals = seen.groupBy("site").agg(F.count("*").alias("total"))
+        pages = seen.select("site", F.explode("lines").alias("line")).groupBy("site", "line").agg(F.count("*").alias("pages"))
+    else:
+        seen = seen.withColumn("page", F.xxhash64("lines"))
+        totals = seen.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("total"))
+        pages = seen.select("site", "page", F.explode("lines").alias("line")).distinct().groupBy("site", "line").agg(F.count("*").alias("pages"))
     return pages.filter(F.col("pages") >= least).join(totals, "site").filter(F.col("pages") > ratio * F.col("total"))
 
 
-def dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST, copies: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text`` (and n_chars, if there, counted anew).
 
     Every row stays; a null text stays null and a text of nothing but boilerplate becomes empty. A null host is the
     host named by the empty string. Blank lines are never boilerplate."""
-    bad = boilerplate(docs, host, ratio, least).groupBy(F.col("site").alias("_site")).agg(F.collect_set("line").alias("_bad"))
+    bad = boilerplate(docs, host, ratio, least, copies).groupBy(F.col("site").alias("_site")).agg(F.collect_set("line").alias("_bad"))
     joined = docs.join(bad, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_site"), "left")
     kept = F.expr("array_join(filter(split(text, '\\n'), x -> not array_contains(_bad, xxhash64(trim(x)))), '\\n')")
     out = joined.withColumn("text", F.when(F.col("_bad").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

@@ -14,8 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without its source's boilerplate lines."""
-    return lines.dedup(docs)
+    """Every document, without its source's boilerplate lines. Copies of a page vote once, so that near_duplicates still has their text."""
+    return lines.dedup(docs, copies=False)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
