@@ -1,8 +1,10 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
-Items fall into partitions by their count of shingles (upper bound u, doubling). A document is cut, per partition, into
-windows of 2u shingles every u, so that an item of the partition stands whole in some window, and its Jaccard
-likeness with it is at least a third of the containment. Each of 40 minima alone is a band. A window's minima first ask a
+Items of at most 8 distinct shingles are looked up by exact shingle: a document that holds enough of them holds one of
+any (all - needed + 1), so that many are keys, and none is missed. Longer items fall into partitions by their count of
+shingles (upper bound u, doubling from 16). A document is cut, per partition, into windows of 2u shingles every u, so that an
+item of the partition stands whole in some window, and its Jaccard likeness J with it is over c / (5 - c) for a
+containment c. Each of 40 minima alone is a band, so (1 - J)^40 are missed. A window's minima first ask a
 Bloom filter of fixed size (2 MB, whatever the number of items); hits are joined by Spark with the items' minima, and each
 pair found is verified on the whole document."""
 
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import cut, mix, rolling, word_hashes
 
 BANDS, K, PERCENT, BITS = 40, 5, 80, 24
+#: Items of at most so many distinct shingles are looked up exactly; 0 is their partition.
+SHORT = 8
 _SEEDS = mix(np.arange(101, 101 + BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -39,7 +43,12 @@ def _minima(sh: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _item_rows(k: int):
+def _exact_keys(shingles: np.ndarray, width: int) -> np.ndarray:
+    """Keys of shingles themselves, distinct by width."""
+    return mix(shingles ^ mix(_SEEDS[:1] + np.uint64(width)))
+
+
+def _item_rows(k: int, percent: int):
     def run(batches):
         for pdf in batches:
             out = []
@@ -48,6 +57,10 @@ def _item_rows(k: int):
                     continue
                 w = min(k, len(h))
                 s = np.unique(rolling(h, w))
+                if len(s) <= SHORT:
+                    enough = -(-percent * len(s) // 100)
+                    out.append((i, w, 0, s.tobytes(), _exact_keys(s[: len(s) - enough + 1], w).view(np.int64)))
+                    continue
                 least = np.array([mix(s ^ seed).min() for seed in _SEEDS])
                 u = _upper(len(rolling(h, w)))
                 out.append((i, w, u, s.tobytes(), _band_keys(least, u, w).view(np.int64)))
@@ -78,8 +91,11 @@ def _window_keys(kinds: list[tuple[int, int]], bloom: np.ndarray):
                     if len(h) < width:
                         continue
                     sh = rolling(h, width)
-                    starts = np.arange(0, len(sh), upper)
-                    got = np.unique(_band_keys(_minima(sh, starts), upper, width))
+                    if upper:
+                        starts = np.arange(0, len(sh), upper)
+                        got = np.unique(_band_keys(_minima(sh, starts), upper, width))
+                    else:
+                        got = np.unique(_exact_keys(sh, width))
                     got = got[known(got)]
                     ids.append(np.full(len(got), i, np.int64))
                     keys.append(got)
@@ -110,7 +126,7 @@ def matches(docs: DataFrame, items: DataFrame, k: int = K, percent: int = PERCEN
     Words are split at ASCII white space and A-Z lower-cased. Items of fewer than k words are one shingle of all
     their words. Empty or null items and texts match nothing, nor do null ids; repeated rows match once."""
     known = items.filter("item_id is not null").select("item_id", "text").mapInPandas(
-        _item_rows(k), "item_id long, width int, upper int, shingles binary, keys array<long>")
+        _item_rows(k, percent), "item_id long, width int, upper int, shingles binary, keys array<long>")
     known = cut(known, "items")
     kinds = sorted((r["width"], r["upper"]) for r in known.select("width", "upper").distinct().collect())  # log of the longest item
     keys = known.select("item_id", F.explode("keys").alias("key"))
