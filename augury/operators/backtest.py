@@ -124,7 +124,9 @@ def rolling(packed: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
     d = packed.withColumn("_at", at).filter(F.size("_at") > 0)
     starts = F.sequence(F.lit(1), F.size("_at"), F.lit(plan.chunk))
     d = d.withColumn("_from", F.explode(starts)).withColumn("model", F.explode(F.array(*[F.lit(m) for m in plan.models])))
-    d = d.withColumn("_at", F.slice("_at", F.col("_from"), F.lit(plan.chunk))).repartition(*keys, "model", "_from")
+    # With a number, since small partitions are otherwise merged into one task, however long their fits.
+    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.withColumn("_at", F.slice("_at", F.col("_from"), F.lit(plan.chunk))).repartition(n, *keys, "model", "_from")
 
     def run(batches):
         for pdf in batches:

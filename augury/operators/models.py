@@ -43,7 +43,7 @@ def ridge(X: np.ndarray, y: np.ndarray) -> np.ndarray:
     return _unscaled(best[1], at, mean, sd)
 
 
-def _descend(gram: np.ndarray, xy: np.ndarray, w: np.ndarray, l1: float, l2: float, rounds: int = 1000, tol: float = 1e-6) -> np.ndarray:
+def _descend(gram: np.ndarray, xy: np.ndarray, w: np.ndarray, l1: float, l2: float, rounds: int = 20000, tol: float = 1e-6) -> np.ndarray:
     """Coordinate descent on moments: (1/2) w'Gw - w'c + l1 |w| + (l2/2) |w|^2."""
     w = w.copy()
     grad = xy - gram @ w

@@ -55,7 +55,7 @@ def _old_new(s, d):
 
 
 def _verdicts(s, d):
-    p = B.rolling(_packed(s, d), K, B.Plan(lags=2, models=("ar", "ridge", "arlr"), max_origins=40)).drop("chosen", "origin")
+    p = B.rolling(_packed(s, d), K, B.Plan(lags=2, models=("ar", "ridge", "arlr"))).drop("chosen", "origin")
     table = S.metrics(p, K).join(E.diebold_mariano(p, K, "ar").drop("n"), ["key", "model"]).join(E.clark_west(p, K, "ar").drop("n"), ["key", "model"])
     return E.verdict(table, K, ["ridge", "arlr"])
 
@@ -88,7 +88,7 @@ QUERIES = {
     "names": lambda s, d: _read(s, d, "part").select("p_partkey", T.slugify(F.col("p_brand")).alias("slug"), T.request_key(F.array("p_brand"), F.lit("us"), F.lit("all")).alias("request")),
     "ar_backtest": lambda s, d: _R(B.rolling(B.pack(target(s, d), None, K), K, B.Plan(models=("ar",))), "key", "model", "origin", "pidx", "y", "base", "p"),
     "search_backtest": lambda s, d: B.rolling(_packed(s, d), K, B.Plan(lags=2, models=("ar", "ols", "ridge", "arlr"))),
-    "penalised_backtest": lambda s, d: B.rolling(_packed(s, d), K, B.Plan(models=("lasso", "enet"), max_origins=8, chunk=1)),
+    "penalised_backtest": lambda s, d: B.rolling(_packed(s, d), K, B.Plan(models=("lasso", "enet"), chunk=1)),
     "forward": lambda s, d: B.forward(_packed(s, d), K, B.Plan(lags=2, models=("ar", "ridge"))),
     "clusters": lambda s, d: B.clusters(_packed(s, d), K),
     "selections": lambda s, d: B.selections(B.rolling(_packed(s, d), K, B.Plan(models=("arlr",), chunk=8)), K),
