@@ -1,7 +1,8 @@
 """Main text of a page by tree scoring.
 
 Blocks of text pass points for length and commas to their parent and, by half, to their grandparent; a container's points
-are cut by its link density. The best container is kept, with siblings that score near it or are plain long paragraphs."""
+are cut by its link density. The best container is kept, with siblings that score near it or are text with few links. Nodes named
+like page furniture, and forms, are skipped unless they hold the only article or most of the text."""
 
 from __future__ import annotations
 
@@ -23,6 +24,11 @@ _NOISE = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|sponsor\w*|p
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "form"}
 _SPACE = re.compile(r"\s+")
 
+#: Layout words: with-sidebar, no-header and the like name a page's frame, not a part of it.
+_FRAME = re.compile(r"(?:with|without|no|not|has)[_-]", re.I)
+_TALK = re.compile(r"comment|respond|replies|disqus", re.I)
+HARD, SOFT, TALK = 1, 2, 3
+
 
 class Node:
     __slots__ = ("tag", "parent", "kids", "skip", "score", "text", "link")
@@ -32,20 +38,57 @@ class Node:
         self.score, self.text, self.link = 0.0, 0, 0
 
 
-def _noisy(tag: str, attrs: str) -> bool:
-    if tag in SKIP:
-        return True
+def _noisy(tag: str, attrs: str) -> int:
+    """HARD for nodes that never hold the main text, SOFT (TALK for comments) for those that might."""
+    if tag in SKIP and tag != "form":
+        return HARD
+    soft = SOFT if tag == "form" else 0
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return soft
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "role" and value.lower() in _ROLES) or (name in ("class", "id") and _NOISE.search(value)):
-            return True
-    return False
+        if name == "hidden" or (name == "role" and value.lower() in _ROLES):
+            return HARD
+        if name in ("class", "id"):
+            for word in value.split():
+                if _NOISE.search(word) and not _FRAME.match(word):
+                    soft = max(soft, TALK if _TALK.search(word) else SOFT)
+    return soft
+
+
+def _spare(root: Node) -> None:
+    """Unskip soft nodes with over half of the text outside links, or with an article and more text than all outside soft
+    nodes, on pages without an article outside them.
+
+    Comments are unskipped only where they hold all of it."""
+    nodes, stack = [], [(root, False, False)]
+    size, holds, outside, plain = {}, set(), False, 0
+    while stack:
+        node, link, soft = stack.pop()
+        link, soft = link or node.tag == "a", soft or node.skip > HARD
+        nodes.append(node)
+        size[node] = 0 if link else sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+        plain += 0 if soft else size[node]
+        if node.tag in ("article", "main"):
+            holds.add(node)
+            outside = outside or not soft
+        stack.extend((k, link, soft) for k in node.kids if isinstance(k, Node) and k.skip != HARD)
+    for node in reversed(nodes):
+        if node.parent is not None:
+            size[node.parent] += size[node]
+            if node in holds:
+                holds.add(node.parent)
+    for node in nodes:
+        if node.skip == TALK:
+            spared = size[node] == size[root] > 0
+        else:
+            spared = node.skip == SOFT and not outside and (2 * size[node] > size[root] or (node in holds and size[node] > plain))
+        if spared:
+            node.skip = 0
 
 
 def parse(source: str) -> Node:
-    root = node = Node("html", None, False)
+    root = node = Node("html", None, 0)
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.search(source, at)
@@ -131,6 +174,7 @@ def extract(source) -> str:
     if not isinstance(source, str) or not source:
         return ""
     root = parse(source)
+    _spare(root)
     nodes = list(_walk(root))
     for node in reversed(nodes):
         own = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
@@ -171,7 +215,8 @@ def extract(source) -> str:
         if not isinstance(kid, Node) or kid.skip:
             continue
         density = kid.link / max(kid.text, 1)
-        if kid is best or rank(kid) >= bar or (kid.tag in PARAS and ((kid.text > 80 and density < 0.25) or (kid.text and density == 0 and kid.tag != "li"))):
+        short = kid.tag not in PARAS and kid.text and density < 0.25
+        if kid is best or rank(kid) >= bar or short or (kid.tag in PARAS and ((kid.text > 80 and density < 0.25) or (kid.text and density == 0 and kid.tag != "li"))):
             out += _blocks(kid)
     return "\n".join(out)
 
