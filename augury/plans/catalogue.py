@@ -25,7 +25,7 @@ def signal(spark, d):
 
 
 def gaps(spark, d):
-    """Daily event counts per type with every third day blanked."""
+    """Daily event counts per type, with five of every seven days blanked so that there are gaps; their SQL says the same."""
     e = _read(spark, d, "events").withColumnRenamed("event_type", "key")
     e = S.period_aggregate(e, ["key"], "ts", F.count("*").cast("double"), "day")
     return e.filter("pidx % 7 not in (1, 2, 3, 4, 5)")
