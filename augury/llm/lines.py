@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, hot_lookup
+
 RATIO, LEAST = 0.02, 5
 
 
@@ -31,10 +33,18 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, lea
 def dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST, copies: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text`` (and n_chars, if there, counted anew).
 
-    Every row stays; a null text stays null and a text of nothing but boilerplate becomes empty. A null host is the
-    host named by the empty string. Blank lines are never boilerplate."""
-    bad = boilerplate(docs, host, ratio, least, copies).groupBy(F.col("site").alias("_site")).agg(F.collect_set("line").alias("_bad"))
-    joined = docs.join(bad, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_site"), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n'), x -> not array_contains(_bad, xxhash64(trim(x)))), '\\n')")
-    out = joined.withColumn("text", F.when(F.col("_bad").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    Every row stays, repeated ones too; a null text stays null and a text of nothing but boilerplate becomes empty. A null host
+    is the host named by the empty string. Blank lines are never boilerplate, and a line at the ratio itself stays. An empty
+    table stays empty; other columns, whatever their names, are carried. A very long text is one row's array of lines."""
+    scratch = Scratch(docs.sparkSession)
+    site = F.coalesce(F.col(host).cast("string"), F.lit(""))
+    bad = boilerplate(docs, host, ratio, least, copies).groupBy("site").agg(F.collect_set("line").alias("bad"))
+    sites = scratch.cut(docs.groupBy(site.alias("site")).agg(F.count("*").alias("rows")).join(bad, "site", "left"), "sites", keep=True)
+    # The row travels as one value, so that no column of it can clash; sites of many rows get their list by broadcast.
+    rows = docs.select(site.alias("site"), F.struct(*docs.columns).alias("row"))
+    rows = hot_lookup(rows, sites, "site", "rows", sites.agg(F.sum("rows")).first()[0] or 0)
+    kept = F.expr("array_join(filter(split(row.text, '\\n'), x -> not array_contains(bad, xxhash64(trim(x)))), '\\n')")
+    text = F.when(F.col("bad").isNull(), F.col("row.text")).otherwise(kept)
+    n_chars = F.length(text).cast(dict(docs.dtypes).get("n_chars", "long"))
+    new = {"text": text, "n_chars": n_chars}
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
