@@ -6,13 +6,16 @@ budget is the least one that shows every source once, so no row is left out."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut
 
-REPEAT, BLOCK = 2.0, 4096
+#: The table of sources is broadcast up to so many rows (under 1 MB), and joined by a shuffle beyond.
+REPEAT, BLOCK, SMALL = 2.0, 4096, 10_000
 
 
 def tokens():
@@ -25,8 +28,6 @@ def _measure(stats: DataFrame, alphas: list[float]) -> list[tuple[float, float]]
     for j, a in enumerate(alphas):
         v = F.exp(F.lit(a) * F.col("ls"))
         cols += [F.sum(v).alias(f"z{j}"), F.sum(v * a * F.col("ls")).alias(f"e{j}"), F.max(v / F.exp("ls")).alias(f"hi{j}"), F.min(v / F.exp("ls")).alias(f"lo{j}")]
-    import math
-
     r = stats.agg(F.count("*").alias("n"), *cols).first()
     return [((math.log(r[f"z{j}"]) - r[f"e{j}"] / r[f"z{j}"]) / max(math.log(r["n"]), 1e-12), r[f"hi{j}"] / r[f"lo{j}"]) for j in range(len(alphas))]
 
@@ -51,42 +52,55 @@ def exponent(stats: DataFrame, entropy: float | None = None, repeat: float = REP
     return lo if entropy is not None else hi
 
 
+def weights(stats: DataFrame, entropy: float | None = None, repeat: float = REPEAT) -> DataFrame:
+    """``stats`` (_src, size in tokens, rows) with each source's weight and how many times its tokens are shown."""
+    total = stats.agg(F.sum("size")).first()[0] or 0
+    empty = stats.withColumns({"weight": F.lit(0.0), "times": F.lit(1.0)})
+    if not total:
+        return empty
+    live = stats.filter("size > 0").withColumn("ls", F.log(F.col("size") / F.lit(float(total))))
+    v = F.exp(F.lit(exponent(live, entropy, repeat)) * F.col("ls"))
+    z, top = live.agg(F.sum(v), F.max(F.col("size") / v)).first()
+    plan = live.select("_src", "size", "rows", (v / z).alias("weight"), (v * top / F.col("size")).alias("times"))
+    return plan.unionByName(empty.filter("size = 0"))
+
+
+#: Columns that mixing adds; columns of ``docs`` with these names are replaced.
+ADDED = ("n_tokens", "weight", "epoch", "place", "block", "slot")
+
+
 def mix(docs: DataFrame, entropy: float | None = None, repeat: float = REPEAT, block: int = BLOCK, carry: bool = True) -> DataFrame:
-    """Rows in training order of each source: the columns of ``docs`` (or doc_id and source) with
-    n_tokens, weight, epoch, block and slot.
+    """Rows in training order of each source (epoch, place, slot): the columns of ``docs`` (or doc_id and source) with
+    n_tokens, weight, epoch, place (the block's position in its epoch), block and slot (the row's position in its block).
 
     Each epoch permutes a source's blocks, and the rows of a block, anew; the last epoch stops at the first row that
-    meets the source's budget. Every row is in epoch 0. A null source is a source of its own; rows without tokens
-    are in epoch 0 alone. An empty table gives an empty result."""
-    base = docs.withColumns({"n_tokens": tokens(), "_src": F.coalesce(F.col("source").cast("string"), F.lit("\0null"))})
-    light = base.select("doc_id", "_src", "n_tokens", F.xxhash64("doc_id", "_src", "n_tokens", "text").alias("_key"))
-    light = cut(light, "mix")
+    meets the source's budget. Every row is in epoch 0. A null source is a source of its own; rows without tokens (null or
+    empty texts) are in epoch 0 alone. Repeated rows stand together, at the slot of the first of them. An empty table gives
+    an empty result. Columns named like the added ones are replaced; a very long text counts whole, and is not split."""
+    src = F.coalesce(F.col("source").cast("string"), F.lit("\0null"))
+    n_tokens = tokens()
+    key = F.xxhash64("doc_id", src, n_tokens, "text")
+    light = cut(docs.select("doc_id", src.alias("_src"), n_tokens.alias("n_tokens"), key.alias("_key")), "mix")
     stats = cut(light.groupBy("_src").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("rows")), "sources")
-    total = stats.agg(F.sum("size")).first()[0] or 0
-    live = stats.filter("size > 0").withColumn("ls", F.log(F.col("size") / F.lit(float(max(total, 1)))))
-    plan = stats.withColumns({"weight": F.lit(0.0), "times": F.lit(1.0)})
-    if total:
-        a = exponent(live, entropy, repeat)
-        z, top = live.agg(F.sum(F.exp(F.lit(a) * F.col("ls"))), F.max(F.col("size") / F.exp(F.lit(a) * F.col("ls")))).first()
-        v = F.exp(F.lit(a) * F.col("ls"))
-        plan = live.select("_src", "size", "rows", (v / z).alias("weight"), (v * top / F.col("size")).alias("times"))
-        plan = plan.unionByName(stats.filter("size = 0").withColumns({"weight": F.lit(0.0), "times": F.lit(1.0)}))
+    plan = weights(stats, entropy, repeat)
     plan = plan.select("_src", "weight", F.greatest("times", F.lit(1.0)).alias("times"), "size", F.ceil(F.col("rows") / block).alias("blocks"))
-    rows = light.join(plan, "_src").withColumn("block", F.pmod(F.col("_key"), F.col("blocks")))
+    rows = light.join(F.broadcast(plan) if stats.count() <= SMALL else plan, "_src").withColumn("block", F.pmod(F.col("_key"), F.col("blocks")))
     last = F.when(F.col("n_tokens") > 0, F.ceil(F.col("times") - 1e-9).cast("int") - 1).otherwise(0)
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
     sums = rows.groupBy("_src", "epoch", "block").agg(F.sum("n_tokens").alias("_n"))
-    order = Window.partitionBy("_src", "epoch").orderBy(F.xxhash64("_src", "epoch", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_from", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n")
+    order = Window.partitionBy("_src", "epoch").orderBy(F.xxhash64("_src", "epoch", "block"), "block")
+    starts = sums.withColumn("_from", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = starts.withColumn("place", F.row_number().over(order).cast("long")).drop("_n")
     rows = rows.join(starts, ["_src", "epoch", "block"])
     inner = Window.partitionBy("_src", "epoch", "block").orderBy(F.xxhash64("_key", "epoch"), "_key", "doc_id")
-    rows = rows.withColumn("slot", F.row_number().over(inner))
+    rows = rows.withColumn("slot", F.row_number().over(inner).cast("long"))
     before = F.col("_from") + F.coalesce(F.sum("n_tokens").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("_before", before).filter((F.col("epoch") == 0) | (F.col("_before") < (F.col("times") - F.col("epoch")) * F.col("size") - 0.5))
+    added = [F.col("block").cast("long").alias("block") if c == "block" else F.col(c) for c in ADDED]
     if not carry:
-        return rows.select("doc_id", F.when(F.col("_src") != "\0null", F.col("_src")).alias("source"), "n_tokens", "weight", "epoch", F.col("block").cast("long").alias("block"), F.col("slot").cast("long").alias("slot"))
-    # Repeated rows share a key; one schedule per key, taken by each of them.
-    slots = rows.groupBy("_key").agg(F.collect_set(F.struct("epoch", "block")).alias("_at"), F.first("weight").alias("weight"))
-    out = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("\0null")), tokens(), "text"))
-    out = out.join(slots, "_key").withColumn("_at", F.explode("_at"))
-    return out.select(*docs.columns, "weight", F.col("_at.epoch").alias("epoch"), F.col("_at.block").cast("long").alias("block"))
+        return rows.select("doc_id", F.when(F.col("_src") != "\0null", F.col("_src")).alias("source"), *added)
+    slots = rows.groupBy("_key", "epoch").agg(*[F.min(c).alias(c) for c in ADDED if c != "epoch"])
+    slots = slots.select("_key", F.struct(*added).alias("_at"))
+    # The row travels as one value, so that no column of it can clash with the helpers.
+    out = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key")).join(slots, "_key")
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ADDED], *[F.col("_at").getField(c).alias(c) for c in ADDED])
