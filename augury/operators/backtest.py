@@ -6,15 +6,17 @@ use many tasks, and each Arrow batch fits its windows in numpy. Nothing is gathe
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from augury.operators import models as M
+from augury.operators.preprocess import prepare
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,7 @@ class Plan:
     step: int = 1
     max_origins: int | None = None
     diff: bool = False
-    repair: bool = True
+    prep: str = "raw"
     chunk: int = 32
     models: tuple[str, ...] = field(default=("ar", "ols", "ridge"))
 
@@ -40,7 +42,9 @@ class Plan:
 def pack(y: DataFrame, x: DataFrame | None, keys: list[str]) -> DataFrame:
     """(keys, pidx, y arrays in period order; names and xs of signals as one array per period).
 
-    ``x`` has keys, keyword, pidx, v; a signal without a value in some period of the target counts as zero there."""
+    ``x`` has keys, keyword, pidx, v; a signal without a value in some period of the target counts as zero there, which the
+    repair of zeros then mends like any other. ``y`` may end in periods without a value (see ``extend``): only forward
+    forecasts look at those, and only where a signal has them."""
     one = y.select(*keys, "pidx", F.col("v").cast("double").alias("y"))
     if x is not None:
         names = x.groupBy(*keys).agg(F.array_sort(F.collect_set("keyword")).alias("names"))
@@ -54,16 +58,6 @@ def pack(y: DataFrame, x: DataFrame | None, keys: list[str]) -> DataFrame:
     return g.select(*keys, "names", *[F.col("a")[c].alias(c) for c in ("pidx", "y", "xs")])
 
 
-def repair_window(X: np.ndarray) -> np.ndarray:
-    """Zeros take the last value over zero, or else the next; then ln(1 + x). Columns of mostly zeros become zero."""
-    X = np.where(X > 0, X, np.nan)
-    X[:, np.isnan(X).mean(0) > 0.5] = 0.0
-    for rows in (X, X[::-1]):
-        at = np.maximum.accumulate(np.where(np.isnan(rows), 0, np.arange(len(rows))[:, None]), axis=0)
-        rows[:] = np.take_along_axis(rows, at, axis=0)
-    return np.log1p(np.nan_to_num(X))
-
-
 def design_rows(y: np.ndarray, X: np.ndarray, pidx: np.ndarray, plan: Plan, search: bool) -> np.ndarray:
     """One row of features per origin; nan where a lag is missing."""
     n, h = len(y), plan.horizon
@@ -79,16 +73,18 @@ def design_rows(y: np.ndarray, X: np.ndarray, pidx: np.ndarray, plan: Plan, sear
     return np.column_stack(cols)
 
 
-def forecast_at(t: int, y: np.ndarray, X: np.ndarray, pidx: np.ndarray, plan: Plan, model: str) -> tuple[float, np.ndarray] | None:
-    """The forecast of y[t + horizon] made at row t, and the coefficients; None where too few rows train it."""
+def forecast_at(t: int, y: np.ndarray, X: np.ndarray, names: list[str], pidx: np.ndarray, plan: Plan, model: str) -> tuple[float, dict[str, float]] | None:
+    """The forecast of y[t + horizon] made at row t, and the largest coefficient of each signal; None where too few rows train it.
+
+    Only rows up to t are looked at, and the target's own value at t only where it is known by then."""
     h, search = plan.horizon, model != "ar"
     known = plan.known and h >= 1
     lo = 0 if plan.window is None else max(0, t + 1 - plan.window)
     yw, Xw = y[lo : t + 1].copy(), X[lo : t + 1]
     if not known:
         yw[-1] = np.nan
-    if search and plan.repair and Xw.shape[1]:
-        Xw = repair_window(Xw)
+    if search and Xw.shape[1]:
+        Xw, names = prepare(Xw, names, plan.prep, plan.period)
     rows = design_rows(yw, Xw, pidx[lo : t + 1], plan, search)
     base = yw if known else np.concatenate([[np.nan], yw[:-1]])
     target = np.concatenate([yw[h:], np.full(min(h, len(yw)), np.nan)])[: len(yw)]
@@ -99,7 +95,9 @@ def forecast_at(t: int, y: np.ndarray, X: np.ndarray, pidx: np.ndarray, plan: Pl
     if ok.sum() < least or np.isnan(rows[-1]).any():
         return None
     coef = M.fitter(model, plan.lags)(rows[ok], target[ok])
-    return float(coef[0] + rows[-1] @ coef[1:] + (base[-1] if plan.diff else 0.0)), coef
+    used = coef[1 + plan.lags : 1 + plan.lags + len(names) * (plan.x_lags + 1)].reshape(-1, plan.x_lags + 1) if search else np.zeros((0, 1))
+    weight = {n: float(c[np.abs(c).argmax()]) for n, c in zip(names, used)}
+    return float(coef[0] + rows[-1] @ coef[1:] + (base[-1] if plan.diff else 0.0)), weight
 
 
 def _arrays(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,13 +133,12 @@ def rolling(packed: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
                 y, X, pidx = _arrays(row)
                 names = list(row.names) if row.names is not None else []
                 for t in row[where]:
-                    got = forecast_at(int(t), y, X, pidx, plan, row.model)
+                    got = forecast_at(int(t), y, X, names, pidx, plan, row.model)
                     if got is None:
                         continue
-                    p, coef = got
-                    used = coef[1 + plan.lags : 1 + plan.lags + len(names) * (plan.x_lags + 1)].reshape(-1, plan.x_lags + 1)
-                    chosen = [n for n, c in zip(names, used) if np.any(c != 0)] if row.model != "ar" else []
-                    base = y[t] if plan.known and plan.horizon >= 1 else y[t - 1]
+                    p, weight = got
+                    chosen = [n for n, c in weight.items() if abs(c) > 1e-8]
+                    base = y[t] if plan.horizon >= 1 else y[t - 1]
                     out.append((*[getattr(row, k) for k in keys], row.model, pidx[t], pidx[t + plan.horizon], y[t + plan.horizon], base, p, chosen))
             yield pd.DataFrame(out, columns=[*keys, "model", "origin", "pidx", "y", "base", "p", "chosen"])
 
@@ -149,8 +146,12 @@ def rolling(packed: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
     return d.mapInPandas(run, _schema(packed, keys, "model string, origin long, pidx long, y double, base double, p double, chosen array<string>"))
 
 
-def forward(packed: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
-    """(keys, model, origin, pidx, p): the forecast ``horizon`` periods after each series' last one."""
+def forward(packed: DataFrame, keys: list[str], plan: Plan, top: int = 12) -> DataFrame:
+    """(keys, model, origin, pidx, p, features, nowcast): the forecast after each series' last known value.
+
+    The origin is the last period with a value. A horizon of 0 has the period after it as its origin, where the signals reach
+    that far; where they do not, the forecast is the one a period ahead, and ``nowcast`` is false. ``features`` names the
+    ``top`` signals by size of coefficient."""
     d = packed.withColumn("model", F.explode(F.array(*[F.lit(m) for m in plan.models]))).repartition(*keys, "model")
 
     def run(batches):
@@ -158,12 +159,19 @@ def forward(packed: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
             out = []
             for row in pdf.itertuples(index=False):
                 y, X, pidx = _arrays(row)
-                got = forecast_at(len(y) - 1, y, X, pidx, plan, row.model)
+                t = int(np.flatnonzero(~np.isnan(y))[-1]) if (~np.isnan(y)).any() else -1
+                if t < 0:
+                    continue
+                now = plan.horizon == 0 and len(y) > t + 1
+                step = plan if now or plan.horizon else replace(plan, horizon=1, known=True)
+                t += now
+                got = forecast_at(t, y, X, list(row.names) if row.names is not None else [], pidx, step, row.model)
                 if got:
-                    out.append((*[getattr(row, k) for k in keys], row.model, pidx[-1], pidx[-1] + plan.horizon, got[0]))
-            yield pd.DataFrame(out, columns=[*keys, "model", "origin", "pidx", "p"])
+                    names = sorted((n for n, c in got[1].items() if abs(c) > 1e-8), key=lambda n: -abs(got[1][n]))[:top]
+                    out.append((*[getattr(row, k) for k in keys], row.model, pidx[t], pidx[t] + step.horizon, got[0], names, now))
+            yield pd.DataFrame(out, columns=[*keys, "model", "origin", "pidx", "p", "features", "nowcast"])
 
-    return d.mapInPandas(run, _schema(packed, keys, "model string, origin long, pidx long, p double"))
+    return d.mapInPandas(run, _schema(packed, keys, "model string, origin long, pidx long, p double, features array<string>, nowcast boolean"))
 
 
 def selections(preds: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,6 +179,22 @@ def selections(preds: DataFrame, keys: list[str]) -> DataFrame:
     return preds.select(*keys, "model", F.explode("chosen").alias("keyword")).groupBy(*keys, "model", "keyword").agg(F.count("*").alias("n"))
 
 
+def selection_report(preds: DataFrame, keys: list[str], top: int = 15) -> DataFrame:
+    """(keys, model, origins, mean number of signals chosen, share of origins without any, the ``top`` signals by count)."""
+    counts = selections(preds, keys).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "model").orderBy(F.desc("n"), "keyword"))).filter(F.col("_r") <= top)
+    lists = counts.groupBy(*keys, "model").agg(F.array_sort(F.collect_list(F.struct("_r", "keyword", "n"))).alias("_l"))
+    lists = lists.select(*keys, "model", F.transform("_l", lambda x: F.struct(x["keyword"].alias("keyword"), x["n"].alias("n"))).alias("top"))
+    own = preds.groupBy(*keys, "model").agg(F.count("*").alias("origins"), F.avg(F.size("chosen")).alias("mean_chosen"), F.avg((F.size("chosen") == 0).cast("double")).alias("empty"))
+    return own.join(lists, [*keys, "model"], "left")
+
+
+def cluster_stability(packed: DataFrame, keys: list[str], first: int, threshold: float = 0.4) -> DataFrame:
+    """(keys, keyword, early, late): each signal's cluster on the first ``first`` periods and on all of them."""
+    head = packed.withColumns({c: F.slice(c, 1, first) for c in ("pidx", "y", "xs")})
+    early = clusters(head, keys, threshold).withColumnRenamed("cluster", "early")
+    return early.join(clusters(packed, keys, threshold).withColumnRenamed("cluster", "late"), [*keys, "keyword"])
+
+
 def clusters(packed: DataFrame, keys: list[str], threshold: float = 0.4) -> DataFrame:
     """(keys, keyword, cluster) of each series' signals (at most some tens) by average linkage."""
 

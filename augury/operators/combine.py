@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from augury.operators.series import back, fill_calendar, interpolate
 
-def derive(df: DataFrame, keys: list[str], kind: str, scale: float = 1.0) -> DataFrame:
-    """pct_change, logdiff, diff or log of ``v``; a period without a predecessor goes, but for log."""
-    prev = F.lag("v").over(Window.partitionBy(*keys).orderBy("pidx"))
+
+def derive(df: DataFrame, keys: list[str], kind: str, scale: float | None = None) -> DataFrame:
+    """pct_change, logdiff, diff or log of ``v`` after gaps of up to three periods are filled by lines, so that a missing
+    period does not make one change of two; a period without a predecessor goes, but for log. ``scale`` is 100 for changes in
+    per cent and logarithms, else 1."""
+    df = interpolate(fill_calendar(df, keys), keys)
+    prev = back("v", 1, keys)
     v = {"pct_change": F.try_divide(F.col("v"), prev) - 1, "logdiff": F.ln("v") - F.ln(prev), "diff": F.col("v") - prev, "log": F.ln("v")}[kind]
+    scale = scale if scale is not None else 100.0 if kind in ("pct_change", "logdiff") else 1.0
     return df.withColumn("v", v * scale).filter("v is not null")
 
 
@@ -37,8 +43,9 @@ def asof_lags(low: DataFrame, high: DataFrame, keys: list[str], lags: int, weigh
     h = h.withColumn("_p", past).select(*keys, "ds", "_p", F.lit(0).alias("_o"))
     u = h.unionByName(low.select(*keys, "ds", F.lit(None).cast("array<double>").alias("_p"), F.lit(1).alias("_o")))
     u = u.withColumn("_p", F.last("_p", True).over(w.orderBy("ds", "_o").rowsBetween(Window.unboundedPreceding, 0))).filter("_o = 1")
+    weights = weights[: lags + 1]
     total = sum(weights)
-    terms = [F.col("_p")[j] * (x / total) for j, x in enumerate(weights[: lags + 1])]
+    terms = [F.col("_p")[j] * (x / total) for j, x in enumerate(weights)]
     out = terms[0]
     for t in terms[1:]:
         out = out + t
@@ -54,6 +61,41 @@ def anchored(df: DataFrame, anchor: str) -> DataFrame:
     return out.select("keyword", "pidx", (F.col("v") * F.coalesce("r", F.lit(1.0))).alias("v"))
 
 
+def batches(keywords: DataFrame, anchor: str, size: int = 4) -> DataFrame:
+    """(batch, keyword): requests of ``size`` keywords and the anchor, in the order of ``pos``; a repeated keyword counts at its first place.
+
+    ``keywords`` (pos, keyword) is a request's list, not data: its numbering is one task's work."""
+    first = keywords.groupBy("keyword").agg(F.min("pos").alias("pos")).filter(F.col("keyword") != anchor)
+    own = first.select(F.floor((F.row_number().over(Window.orderBy("pos")) - 1) / size).cast("int").alias("batch"), "keyword")
+    return own.unionByName(own.select("batch", F.lit(anchor).alias("keyword")).distinct())
+
+
+def individual(frames: DataFrame) -> DataFrame:
+    """One series a keyword out of requests of one keyword each (pos, keyword, pidx, v); of repeated keywords the first request's."""
+    first = frames.groupBy("keyword").agg(F.min("pos").alias("pos"))
+    return frames.join(first, ["keyword", "pos"], "left_semi").select("keyword", "pidx", "v")
+
+
+def union_columns(frames: DataFrame) -> DataFrame:
+    """Full outer join of series by period, in long form: every keyword has a row, perhaps null, for each period of any."""
+    grid = frames.select("keyword").distinct().crossJoin(frames.select("pidx").distinct())  # the result itself: keywords of one request by its periods
+    return grid.join(frames.groupBy("keyword", "pidx").agg(F.min_by("v", "pos").alias("v")), ["keyword", "pidx"], "left")
+
+
+def extend(df: DataFrame, keys: list[str], steps: int) -> DataFrame:
+    """With ``steps`` future periods a series, without values."""
+    last = df.groupBy(*keys).agg(F.max("pidx").alias("hi"))
+    ahead = last.select(*keys, F.explode(F.sequence(F.col("hi") + 1, F.col("hi") + steps)).alias("pidx"), F.lit(None).cast("double").alias("v"))
+    return df.select(*keys, "pidx", "v").unionByName(ahead)
+
+
+def signal_info(signals: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """(key, nonzero, corr): each signal's share of values over zero, and the correlation of its changes with the target's."""
+    t = target.withColumn("_one", F.lit(1)).select("pidx", (F.col("v") - back("v", 1, ["_one"])).alias("dy"))
+    d = signals.withColumn("dx", F.col("v") - back("v", 1, [key])).join(t, "pidx", "left")
+    return d.groupBy(key).agg(F.round(F.avg((F.col("v") > 0).cast("double")), 2).alias("nonzero"), F.round(F.corr("dx", "dy"), 2).alias("corr"))
+
+
 def splice(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """All of ``new``, and ``old`` before its start; a series that ``new`` lacks stays as it is."""
     start = new.groupBy(*keys).agg(F.min("pidx").alias("_s"))

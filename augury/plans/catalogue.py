@@ -97,7 +97,7 @@ SELECT key, pidx, round(CASE WHEN v IS NOT NULL THEN v ELSE a + (b - a) * (pidx
     "design": f"WITH {_Y}, r AS (SELECT key, pidx, v, lag(v, 1) OVER {_W}) AS lag1, lag(v, 2) OVER {_W}) AS lag2, lag(v, 3) OVER {_W}) AS lag3, lead(v, 2) OVER {_W}) AS target FROM y) SELECT * FROM r WHERE lag3 IS NOT NULL AND target IS NOT NULL",
     "benchmarks": f"WITH {_Y}, {_B} SELECT key, pidx, model, y, round(p, 6) AS p FROM b",
     "backtest_metrics": f"""WITH {_Y}, {_B} SELECT key, model, count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs((y - p) / y) * 100), 6) AS mape,
-round(1 - sum((y - p) * (y - p)) / sum((y - base) * (y - base)), 6) AS oos_r2, round(avg(CASE WHEN y <> base THEN CASE WHEN sign(y - base) = sign(round(p - base, 10)) THEN 1.0 ELSE 0.0 END END), 6) AS diracc FROM c GROUP BY 1, 2""",
+round(1 - sum((y - p) * (y - p)) / sum((y - base) * (y - base)), 6) AS oos_r2, CASE WHEN max(abs(round(p - base, 10))) > 0 THEN round(avg(CASE WHEN y <> base THEN CASE WHEN sign(y - base) = sign(round(p - base, 10)) THEN 1.0 ELSE 0.0 END END), 6) END AS diracc FROM c GROUP BY 1, 2""",
     "conformal": f"""WITH {_Y}, {_B}, r AS (SELECT *, row_number() OVER (PARTITION BY key, model ORDER BY pidx DESC) AS r FROM c), a AS (SELECT key, model, count(*) AS n, list_sort(list(abs(y - p))) AS e FROM r WHERE r <= 36 GROUP BY 1, 2)
 SELECT key, model, n, round(e[least(greatest(CAST(ceil(0.9 * (n + 1)) AS BIGINT) - 1, 0), n - 1) + 1], 6) AS half FROM a""",
     "shares": f"WITH {_Y} SELECT key, pidx, round(v / sum(v) OVER (PARTITION BY pidx), 6) AS share FROM y",

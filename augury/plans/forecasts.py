@@ -12,6 +12,7 @@ from augury.operators import combine as C
 from augury.operators import evaluate as E
 from augury.operators import series as S
 from augury.plans.catalogue import _B, _R, _W, _X, _Y, K, _read, signal, target
+from augury.sources.files import written
 
 
 def _preds(s, d):
@@ -43,8 +44,12 @@ def _batches(s, d):
     return own.unionByName(anchor.select(*own.columns)).withColumn("v", F.col("v") / (1 + F.col("batch")))
 
 
+def _all_orders(s, d):
+    return S.period_aggregate(_read(s, d, "orders").withColumn("key", F.lit("all")), K, "o_orderdate", F.count("*").cast("double"))
+
+
 def _packed(s, d):
-    y = S.period_aggregate(_read(s, d, "orders").withColumn("key", F.lit("all")), K, "o_orderdate", F.count("*").cast("double"))
+    y = _all_orders(s, d)
     x = signal(s, d).select(F.lit("all").alias("key"), F.col("key").alias("keyword"), "pidx", "v")
     return B.pack(y, x, K)
 
@@ -56,8 +61,8 @@ def _old_new(s, d):
 
 def _verdicts(s, d):
     p = B.rolling(_packed(s, d), K, B.Plan(lags=2, models=("ar", "ridge", "arlr"))).drop("chosen", "origin")
-    table = S.metrics(p, K).join(E.diebold_mariano(p, K, "ar").drop("n"), ["key", "model"]).join(E.clark_west(p, K, "ar").drop("n"), ["key", "model"])
-    return E.verdict(table, K, ["ridge", "arlr"])
+    # The fits are written once; the scores and both tests read them.
+    return E.verdict(E.compare(written(p), K, "ar", _all_orders(s, d), 12), K, ["ridge", "arlr"])
 
 
 WEIGHTS = [math.exp(0.1 * j - 0.2 * j * j) for j in range(4)]
@@ -132,7 +137,7 @@ SELECT keyword, pidx, round(CASE WHEN keyword = 'Brand#11' THEN v ELSE v / (1 +
     "salience": """WITH w AS (SELECT event_type AS key, date_trunc('week', ts) AS wk, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2), s AS (SELECT *, v / sum(v) OVER (PARTITION BY wk) AS share FROM w),
 t AS (SELECT wk, sum(v) AS t, row_number() OVER (ORDER BY wk DESC) AS b FROM w GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN b <= 4 THEN t END DESC NULLS LAST, wk) AS k, least(max(b) OVER (), 8) AS n FROM t WHERE b <= 8)
 SELECT key, round(avg(share) FILTER (WHERE b <= 4), 3) AS last4, round(avg(share) FILTER (WHERE b > n - 4), 3) AS prev4, round(avg(share) FILTER (WHERE b <= 4 AND k > 1), 3) AS ex_spike FROM s JOIN k USING (wk) GROUP BY 1""",
-    "names": "SELECT p_partkey, replace(lower(p_brand), '#', '-') AS slug, sha1(p_brand || '|US|all')[1:10] AS request FROM part",
+    "names": "SELECT p_partkey, replace(lower(p_brand), '#', '-') AS slug, sha1('{\"cat\": 0, \"geo\": \"US\", \"gprop\": \"\", \"keywords\": [\"' || p_brand || '\"], \"timeframe\": \"all\"}')[1:10] AS request FROM part",
     "ar_backtest": f"""WITH {_Y}, i AS (SELECT *, row_number() OVER {_W}) - 1 AS i, lead(v) OVER {_W}) AS t, lead(pidx) OVER {_W}) AS tp FROM y),
 f AS (SELECT *, regr_slope(t, v) OVER w AS s, regr_intercept(t, v) OVER w AS c FROM i WINDOW w AS {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT key, 'ar' AS model, pidx AS origin, tp AS pidx, t AS y, v AS base, round(c + s * v, 6) AS p FROM f WHERE i >= 24 AND t IS NOT NULL""",

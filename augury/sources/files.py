@@ -2,20 +2,52 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARTIAL = "isPartial"
 
 
-def wide_vintage(spark: SparkSession, path: str) -> DataFrame:
-    """A vintage file (date, one column per keyword, perhaps isPartial) in long form: ds, keyword, v, is_partial."""
-    df = spark.read.option("header", True).csv(path)
-    date, words = df.columns[0], [c for c in df.columns[1:] if c != PARTIAL]
-    flag = F.lower(F.col(PARTIAL)).isin("true", "1") if PARTIAL in df.columns else F.lit(False)
-    pairs = F.array(*[F.struct(F.lit(w).alias("keyword"), F.expr(f"try_cast(`{w}` AS double)").alias("v")) for w in words])
-    d = df.select(F.to_date(F.col(f"`{date}`")).alias("ds"), F.coalesce(flag, F.lit(False)).alias("is_partial"), F.explode(pairs).alias("p"))
-    return d.select("ds", "p.keyword", "p.v", "is_partial")
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` written to a folder of its own and read back, which ends its plan and survives lost executors.
+
+    The folder lies in spark.checkpoint.dir; only a local master may go without one, in a temporary folder."""
+    spark = df.sparkSession
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        at = tempfile.mkdtemp(prefix="augury-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a CSV line; quoted ones may hold commas and doubled quotes, but no line ends."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"')
+    return F.transform(raw, bare)
+
+
+def _lines(spark: SparkSession, path) -> DataFrame:
+    """One row a file: its lines, without a byte order mark. Each file is read as one text, since lines have no order in a
+    split file; such downloads have some hundred lines."""
+    return spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n").alias("lines"))
+
+
+def wide_vintage(spark: SparkSession, path) -> DataFrame:
+    """Vintage files (date, one column per keyword, perhaps isPartial), each by its own header, in long form: ds, keyword, v, is_partial."""
+    d = _lines(spark, path).select(_cells(F.element_at("lines", 1)).alias("names"), F.explode(F.expr("slice(lines, 2, size(lines))")).alias("line"))
+    d = d.filter("trim(line) <> ''").withColumn("cells", _cells(F.col("line"))).withColumn("at", F.array_position("names", PARTIAL).cast("int"))
+    flag = F.coalesce(F.when(F.col("at") > 0, F.lower(F.try_element_at("cells", "at")).isin("true", "1")), F.lit(False))
+    pairs = F.explode(F.expr("slice(arrays_zip(names, cells), 2, size(names) - 1)"))
+    d = d.select(F.expr("try_cast(cells[0] AS date)").alias("ds"), flag.alias("is_partial"), pairs.alias("p")).filter(F.col("p.names") != PARTIAL)
+    return d.select("ds", F.col("p.names").alias("keyword"), F.col("p.cells").try_cast("double").alias("v"), "is_partial")
 
 
 def save_vintage(df: DataFrame, path: str, slug: str, vintage: str) -> None:
@@ -39,17 +71,14 @@ def latest(df: DataFrame, keys: list[str], drop_partial: bool = True) -> DataFra
 def manual_csv(spark: SparkSession, path: str) -> DataFrame:
     """A downloaded table with a preamble, BOM, region suffixes in its header and ``<1`` cells, in long form: ds, keyword, v.
 
-    The preamble is what stands before the line that starts with a period's name. Each file is read as one text, since
-    lines have no order in a split file; such downloads have some hundred lines."""
-    text = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n").alias("lines"))
+    The preamble is what stands before the line that starts with a period's name."""
     head = r"(?i)^\"?(week|month|day|time|date)\b"
-    d = text.withColumn("at", F.array_position(F.transform("lines", lambda x: x.rlike(head)), True)).filter("at > 0")
-    d = d.select(F.split(F.element_at("lines", F.col("at").cast("int")), ",").alias("names"), F.explode(F.expr("slice(lines, int(at + 1), size(lines))")).alias("line"))
-    d = d.filter("trim(line) <> ''").withColumn("cells", F.split("line", ","))
-    d = d.select(F.expr("try_cast(replace(cells[0], '\"', '') AS date)").alias("ds"),
-                 F.explode(F.expr("slice(arrays_zip(names, cells), 2, size(names) - 1)")).alias("p"))
-    v = F.trim(F.regexp_replace("p.cells", '"', ""))
-    name = F.trim(F.regexp_replace(F.regexp_replace("p.names", '"', ""), r": \([^)]*\)$", ""))
+    d = _lines(spark, path).withColumn("at", F.array_position(F.transform("lines", lambda x: x.rlike(head)), True)).filter("at > 0")
+    d = d.select(_cells(F.element_at("lines", F.col("at").cast("int"))).alias("names"), F.explode(F.expr("slice(lines, int(at + 1), size(lines))")).alias("line"))
+    d = d.filter("trim(line) <> ''").withColumn("cells", _cells(F.col("line")))
+    d = d.select(F.expr("try_cast(cells[0] AS date)").alias("ds"), F.explode(F.expr("slice(arrays_zip(names, cells), 2, size(names) - 1)")).alias("p"))
+    name = F.trim(F.regexp_replace(F.col("p.names"), r": \([^)]*\)$", ""))
+    v = F.trim(F.col("p.cells"))
     return d.select("ds", name.alias("keyword"), F.when(v == "<1", 0.5).otherwise(v.try_cast("double")).alias("v"))
 
 

@@ -1,14 +1,17 @@
 """Forecast queries against their SQL, and models against plain numpy."""
 
 import math
+from dataclasses import replace
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from augury.functions import stats
 from augury.operators import backtest as B
 from augury.operators import models as M
+from augury.operators.preprocess import KINDS, prepare, repair
 from augury.plans.forecasts import ORACLE_SQL, QUERIES
 from test_catalogue import SF, norm
 
@@ -91,13 +94,42 @@ def test_no_future_value_moves_a_forecast():
     y, X, pidx = r.normal(size=60), r.random((60, 3)), np.arange(60)
     for known in (True, False):
         plan = B.Plan(horizon=2, lags=2, x_lags=1, known=known, diff=True, harmonics=1)
-        p, _ = B.forecast_at(40, y, X, pidx, plan, "ridge")
-        y2, X2 = y.copy(), X.copy()
-        y2[41 if known else 40 :] += 100
-        X2[41:] += 100
-        assert B.forecast_at(40, y2, X2, pidx, plan, "ridge")[0] == p
-
-
-def test_repair_window():
-    X = np.array([[0.0, 0], [2, 0], [0, 0], [4, 1]])
-    assert np.allclose(np.expm1(B.repair_window(X)), [[2, 0], [2, 0], [2, 0], [4, 0]])
+        names = ["a", "b", "c"]
+        for prep in KINDS:
+            p, _ = B.forecast_at(40, y, X, names, pidx, replace(plan, prep=prep), "ridge")
+            y2, X2 = y.copy(), X.copy()
+            y2[41 if known else 40 :] += 100
+            X2[41:] += 100
+            assert B.forecast_at(40, y2, X2, names, pidx, replace(plan, prep=prep), "ridge")[0] == p
+
+
+def test_repair():
+    X, kept = repair(np.array([[0.0, 0], [2, 0], [0, 0], [4, 1]]))
+    assert kept.tolist() == [True, False] and X.tolist() == [[2], [2], [2], [4]]
+
+
+def test_preparation_against_pandas():
+    r = np.random.default_rng(5)
+    X = r.gamma(2.0, 3.0, size=(70, 5)) * (r.random((70, 5)) > 0.1)
+    X[:, 3] = X[:, 0] * 2 + 0.01 * r.random(70)
+    Z = pd.DataFrame(X, columns=list("abcde"))
+    Z = np.log(Z.mask(Z <= 0).ffill().bfill() + 1).ewm(halflife=1.0, adjust=True).mean()
+    Z = (Z - Z.rolling(12, min_periods=3).mean().shift(1)).bfill()
+    S = (Z - Z.mean()) / Z.std(ddof=0)
+    assert np.allclose(prepare(X, list("abcde"), "djorno_nocluster", 12)[0], S)
+    got, names = prepare(X, list("abcde"), "djorno", 12)
+    assert "a+1" in names and np.allclose(got[:, names.index("a+1")], S[["a", "d"]].mean(axis=1))
+    D = np.log(pd.DataFrame(X).mask(X <= 0).ffill().bfill() + 1).diff().bfill()
+    assert np.allclose(prepare(X, list("abcde"), "diffgt", 12)[0], D)
+
+
+def test_forward_nowcast(spark):
+    rows = [("k", t, float(t % 5 + t)) for t in range(50)]
+    y = spark.createDataFrame(rows, "key string, pidx long, v double")
+    x = spark.createDataFrame([("k", w, t, float(1 + (t * m) % 7)) for w, m in (("a", 3), ("b", 2)) for t in range(51)], "key string, keyword string, pidx long, v double")
+    plan = B.Plan(horizon=0, lags=2, models=("ridge",), known=False)
+    short = B.forward(B.pack(y, x, ["key"]), ["key"], plan).first()
+    assert (short.origin, short.pidx, short.nowcast) == (49, 50, False)
+    ahead = y.unionByName(spark.createDataFrame([("k", 50, None)], y.schema))
+    full = B.forward(B.pack(ahead, x, ["key"]), ["key"], plan).first()
+    assert (full.origin, full.pidx, full.nowcast) == (50, 50, True) and set(full.features) <= {"a", "b"}

@@ -59,3 +59,11 @@ def test_resample_and_report(spark):
     assert S.resample(df, ["key"], "M", "sum", now="2020-01-15").count() == 0
     one = S.report_json(week.withColumn("v", F.when(F.col("v") > 5, float("nan")).otherwise(F.col("v"))), ["key"]).first()
     assert json.loads(one.json)[0] == {"ds": "2020-01-04", "v": 4.0}
+
+
+def test_vintages_each_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('date,cold,flu,isPartial\n2020-01-05,1,2,False\n2020-01-12,3,,True\n')
+    (tmp_path / "b.csv").write_text('date,flu,"cough, dry"\n2020-01-05,7,8\n')
+    rows = {(str(r.ds), r.keyword, r.v, r.is_partial) for r in S.wide_vintage(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()}
+    assert rows == {("2020-01-05", "cold", 1.0, False), ("2020-01-05", "flu", 2.0, False), ("2020-01-12", "cold", 3.0, True), ("2020-01-12", "flu", None, True),
+                    ("2020-01-05", "flu", 7.0, False), ("2020-01-05", "cough, dry", 8.0, False)}
