@@ -20,7 +20,13 @@ RAW = set("script style textarea title noscript xmp iframe noembed noframes temp
 SKIP = RAW | set("nav header footer aside form button select option menu svg canvas object dialog head audio video map fieldset label math".split())
 BLOCK = set("address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 PARAS = set("p pre blockquote td li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
-_NOISE = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|comments?|respond|replies|disqus|sidebar\w*|nav\w*|menu\w*|footer\w*|header\w*|masthead|breadcrumb\w*|cookie\w*|consent\w*|notice\w*|gdpr|newsletter\w*|subscribe|popup\w*|modal\w*|overlay|share|sharing|social\w*|related|recommend\w*|widget\w*|login|signup|pagination|pager|toolbar|alert|disclaimer)(?:$|[\s_-])", re.I)
+#: Words of page furniture in class names and ids, and words that only say where or how such a part is laid out. A name means
+#: furniture when one of its words does and all its others are layout: ``site-header``, but not ``header-image`` or ``related-work``.
+_NOISE = re.compile(r"(?:ads?|adv|advert\w*|banners?|sponsor\w*|promos?|promotions?|comments?|respond|replies|disqus|sidebars?|nav\w*|menus?|footers?|headers?|masthead|breadcrumbs?|cookies?|consent|notices?|gdpr|newsletters?|subscribe|popups?|modals?|overlay|shares?|sharing|social|related|recommend\w*|widgets?|login|signup|pagination|pager|toolbar|alerts?|disclaimer)", re.I)
+_LAYOUT = re.compile(
+    r"(?:\d+(?:x\d+)?|site|page|global|main|primary|secondary|top|bottom|left|right|upper|lower|inner|outer|fixed|sticky|mobile|desktop|wrap|wrapper|container|box|bar|block|area|"
+    r"section|region|zone|slot|unit|panel|pane|column|col|row|list|items?|group|links?|buttons?|btn|icons?|form|body|text|title|message|wrapping|holder|outer|strip|rail|module|component|"
+    r"the|my|js|is|u|l|c|o|posts?|articles?|stories|content|media|user|thread|tree|count|meta|policy|privacy|law|eu|google|amp|dfp|gpt)", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "form"}
 _SPACE = re.compile(r"\s+")
 
@@ -31,11 +37,11 @@ HARD, SOFT, TALK = 1, 2, 3
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "skip", "score", "text", "link")
+    __slots__ = ("tag", "parent", "kids", "skip", "score", "text", "link", "commas")
 
     def __init__(self, tag, parent, skip):
         self.tag, self.parent, self.kids, self.skip = tag, parent, [], skip
-        self.score, self.text, self.link = 0.0, 0, 0
+        self.score, self.text, self.link, self.commas = 0.0, 0, 0, 0
 
 
 def _noisy(tag: str, attrs: str) -> int:
@@ -51,7 +57,9 @@ def _noisy(tag: str, attrs: str) -> int:
             return HARD
         if name in ("class", "id"):
             for word in value.split():
-                if _NOISE.search(word) and not _FRAME.match(word):
+                parts = [x for x in re.split(r"[-_]+", word) if x]
+                noise = [bool(_NOISE.fullmatch(x)) for x in parts]
+                if any(noise) and not _FRAME.match(word) and all(n or _LAYOUT.fullmatch(x) for n, x in zip(noise, parts)):
                     soft = max(soft, TALK if _TALK.search(word) else SOFT)
     return soft
 
@@ -179,18 +187,19 @@ def extract(source) -> str:
     for node in reversed(nodes):
         own = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
         node.text += own
+        node.commas += sum(k.count(",") for k in node.kids if isinstance(k, str))
         if node.tag == "a":
             node.link = node.text
         if node.parent is not None:
             node.parent.text += node.text
             node.parent.link += node.link
+            node.parent.commas += node.commas
     scored = []
     for node in nodes:
         loose = node.tag not in PARAS and node.tag in BLOCK and any(isinstance(k, str) and len(k.strip()) > 25 for k in node.kids)
         if not (node.tag in PARAS or loose) or node.text - node.link < 1:
             continue
-        commas = sum(k.count(",") for n in _walk(node) for k in n.kids if isinstance(k, str))
-        points = (1 + commas + min(node.text / 100, 3)) * (1 - node.link / max(node.text, 1))
+        points = (1 + node.commas + min(node.text / 100, 3)) * (1 - node.link / max(node.text, 1))
         to = node if loose else node.parent
         for share in (1, 0.5):
             if to is not None:
@@ -222,6 +231,8 @@ def extract(source) -> str:
 
 
 def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with ``text``, the main text of each row. Repeated rows stay."""
+    """``pages`` with ``text``, the main text of each row; a column of that name is replaced. Repeated rows stay, a null or empty
+    page has an empty text, and an empty table stays empty. Of containers with equal scores the one found first is taken. Time
+    and memory grow in proportion to a page's length."""
     run = F.pandas_udf(lambda s: pd.Series([extract(x) for x in s], dtype=object), "string")
     return pages.withColumn("text", run(F.col(html)))
