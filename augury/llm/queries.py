@@ -45,7 +45,7 @@ def op8_decontamination(spark, d):
 
 
 def op9_warc(spark, d):
-    return warc.round_trip(table(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.verified(table(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_near_dups(spark, d):

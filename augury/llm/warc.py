@@ -3,7 +3,7 @@
 A record's header and payload are one string, and the record ends with the format's two line ends, which is the
 writer's line separator; so task commits and retries are Spark's. On reading, every place that looks like a record start is a candidate
 with the offset of its successor; pointer jumping from the file's start keeps only the reachable ones, so that payloads holding whole
-records cannot pass as such. Files are compressed as .gz and hold a bounded number of records."""
+records cannot pass as such. Files are compressed as .gz and bounded in bytes; a file's chain is followed inside one task."""
 
 from __future__ import annotations
 
@@ -16,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_lookup, new_path
+from .common import cut, hot_lookup, new_path, remove
 
-LEAST, PER_FILE = 1000, 2000
+LEAST = 1000
+#: Greatest payload, and records a file, of each class of records but the last, whose files hold one: a file is at most 128 MB, or one record.
+CLASSES = [(1 << 16, 2000), (1 << 20, 125), (1 << 24, 8)]
 MAGIC = b"WARC/1.1\r\n"
 _HEAD = re.compile(rb"([A-Za-z-]+):[ \t]*([^\r\n]*)\r\n")
 
@@ -53,8 +55,16 @@ def records(planned: DataFrame):
 
 
 def write(pages: DataFrame, path: str) -> None:
-    out = records(plan(pages))
-    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
+    """Archives below ``path``, one folder a class of payload sizes, so that a file is bounded in bytes and not only in records."""
+    planned = plan(pages)
+    kind = F.lit(len(CLASSES))
+    for i, (most, _) in reversed(list(enumerate(CLASSES))):
+        kind = F.when(F.octet_length(F.coalesce("html", F.lit(""))) <= most, i).otherwise(kind)
+    present = sorted(r[0] for r in pages.select(kind.alias("kind")).distinct().collect())  # at most four numbers
+    for i in present:
+        low, (high, count) = CLASSES[i - 1][0] if i else -1, CLASSES[i] if i < len(CLASSES) else (1 << 62, 1)
+        out = records(planned.filter((F.col("bytes") > low) & (F.col("bytes") <= high)) if len(present) > 1 else planned)
+        out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", count).option("compression", "gzip").text(f"{path}/{i}")
 
 
 def chain(data: bytes) -> tuple[list[tuple[int, int, int]], bool]:
@@ -108,12 +118,28 @@ def _read(batches):
 
 def read(spark, path: str) -> DataFrame:
     """The records of all files: page_id, uri, record_type, refers_to, payload_digest, payload_bytes, payload (null for revisits)."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(_read, "page_id long, uri string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
+    none = "page_id long, uri string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):  # no pages, no archives
+        return spark.createDataFrame([], none)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
+    return files.mapInPandas(_read, none)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to the shared folder and read them back. A null html is an empty payload; a null page_id stays null."""
+    """What comes back of ``pages`` written to the shared folder and read again; the archives stay there.
+
+    A null html is an empty payload; a null page_id stays null, and so does its revisits' reference. Repeated rows are records of
+    their own. An empty table gives no rows; other columns are not looked at. A page is one record, held whole by one worker."""
     path = new_path(pages.sparkSession, "warc")
     write(pages, path)
     return read(pages.sparkSession, path)
+
+
+def verified(pages: DataFrame) -> DataFrame:
+    """``round_trip`` without the payloads, whose bytes were held against their digests; the archives are deleted."""
+    spark, path = pages.sparkSession, new_path(pages.sparkSession, "warc")
+    write(pages, path)
+    out = cut(read(spark, path).drop("payload"), "records")
+    remove(spark, path)
+    return out
