@@ -55,8 +55,18 @@ def fingerprint(text: str) -> dict[bytes, int]:
     return out
 
 
+def _length(n: int) -> bytes:
+    """Seven bits a byte, the highest bit set on all but the last."""
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
 def encode(fp: dict[bytes, int]) -> str:
-    return base64.b64encode(b"".join(d + min(n, 0xFFFFFF).to_bytes(3, "big") for d, n in sorted(fp.items()))).decode()
+    return base64.b64encode(b"".join(d + _length(n) for d, n in sorted(fp.items()))).decode()
 
 
 def likeness(a: dict[bytes, int], b: dict[bytes, int]) -> float:
@@ -70,7 +80,8 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     Rows are dealt in ranges of doc_id; the first rows of a range also go to the range before, so each task has the
     next document of its last one. A null doc_id comes before all others, equal ones follow the order of their texts.
-    A null text is empty. A lone document is its own next one."""
+    A null text is empty. A lone document is its own next one. An empty table gives no rows; other columns are not looked at.
+    A text's bytes and hashes (8 bytes each) are held whole by one worker, however long it is."""
     spark = docs.sparkSession
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -88,10 +99,14 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     heads = d.groupBy("part").agg(F.min(key).alias("head"))
     d = d.join(F.broadcast(heads.withColumnRenamed("part", "_p")), F.col("part") == F.col("_p")).drop("_p")
     back = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+    # A number for each part that Spark's hash deals to a task of its own; the parts' own numbers would meet in some tasks.
+    ids = spark.range(40 * parts).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("task")).groupBy("task").agg(F.min("id").alias("id")).collect()
+    spread = {r["task"]: r["id"] for r in ids}
+    tasks = F.array(*[F.lit(spread.get(p, p)).cast("long") for p in range(parts)])
     own = F.struct(F.col("part").alias("at"), F.lit(False).alias("lent"))
     lent = F.struct(back[F.col("part")].alias("at"), F.lit(True).alias("lent"))
     d = d.withColumn("_x", F.explode(F.when(key == F.col("head"), F.array(own, lent)).otherwise(F.array(own))))
-    d = d.select("doc_id", "text", "_x.at", "_x.lent").repartition(parts, "at").sortWithinPartitions("at", "lent", "doc_id", "text")
+    d = d.select("doc_id", "text", "_x.at", "_x.lent").withColumn("task", tasks[F.col("at")]).repartition(parts, "task").sortWithinPartitions("at", "lent", "doc_id", "text")
 
     def rows(batches):
         def one(cur, nxt):
