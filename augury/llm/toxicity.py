@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A model is fitted on at most so many labelled rows, chosen by hash; scoring covers every row.
-MAX_TRAIN, LANDMARKS, DECAY, THRESHOLD = 6000, 96, 0.5, 0.3
+#: A model is fitted on at most so many labelled rows, chosen by hash, of at most so many bytes each; scoring covers every row.
+MAX_TRAIN, MAX_BYTES, LANDMARKS, DECAY, THRESHOLD = 6000, 1 << 16, 96, 0.5, 0.3
 _STEPS = list(product((1, 2), repeat=3))
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _TOP = np.uint64(44)
@@ -168,11 +168,14 @@ def fit(texts, y, n: int = LANDMARKS) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
-    """Fit on at most ``max_rows`` labelled rows, none of them held out (crc32 of the doc_id text mod 4 is 2)."""
+    """Fit on at most ``max_rows`` labelled rows of at most MAX_BYTES, none of them held out (crc32 of the doc_id text mod 4 is 2).
+
+    Rows without a label of 0 or 1, a doc_id or a text are not looked at. Without both labels the model rejects nothing."""
     usable = labels.filter("toxic in (0, 1) and doc_id is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2")
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("y"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toPandas()
+    own = docs.filter(F.octet_length("text") <= MAX_BYTES).select("doc_id", "text")
+    got = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).toPandas()
     got = got.sort_values(["doc_id", "text"], na_position="first")
     if got["y"].nunique() < 2:
         return Model(Landmarks([]), np.zeros((0, 0)), np.array([-1.0]), (1.0, -3.0))
@@ -180,7 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Mode
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row. Null and empty texts get the score of no evidence."""
+    """doc_id, held_out, score, predicted for every row. Null and empty texts get the score of no evidence; a null doc_id is not held
+    out. Repeated rows score alike, an empty table gives no rows, other columns are not looked at. A very long text is a pass
+    of its own, with memory in proportion to it."""
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.score(pdf["text"].tolist())})
