@@ -20,7 +20,7 @@ _STEPS = list(product((1, 2), repeat=3))
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _TOP = np.uint64(44)
 #: Characters of one array pass; a longer text is a pass of its own.
-_PASS = 400_000
+_PASS = 100_000
 _TRIM = "\"'.,;:!?()[]{}|%$&*#"
 
 
