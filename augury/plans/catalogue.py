@@ -25,10 +25,9 @@ def signal(spark, d):
 
 
 def gaps(spark, d):
-    """Daily event counts per type, with five of every seven days blanked so that there are gaps; their SQL says the same."""
-    e = _read(spark, d, "events").withColumnRenamed("event_type", "key")
-    e = S.period_aggregate(e, ["key"], "ts", F.count("*").cast("double"), "day")
-    return e.filter("pidx % 7 not in (1, 2, 3, 4, 5)")
+    """Daily event counts per user: days without an event are gaps of their own."""
+    e = _read(spark, d, "events").withColumnRenamed("user_id", "key")
+    return S.period_aggregate(e, ["key"], "ts", F.count("*").cast("double"), "day")
 
 
 K = ["key"]
@@ -67,8 +66,7 @@ QUERIES = {
 
 _Y = "y AS (SELECT o_orderpriority AS key, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS pidx, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY 1, 2)"
 _X = "x AS (SELECT p_brand AS key, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS BIGINT) AS pidx, CAST(count(*) AS DOUBLE) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
-_G = """e AS (SELECT event_type AS key, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS BIGINT) AS pidx, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2),
-g AS (SELECT * FROM e WHERE pidx % 7 NOT IN (1, 2, 3, 4, 5)),
+_G = """g AS (SELECT user_id AS key, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS BIGINT) AS pidx, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2),
 f AS (SELECT c.key, c.pidx, g.v FROM (SELECT key, unnest(range(min(pidx), max(pidx) + 1)) AS pidx FROM g GROUP BY key) c LEFT JOIN g ON g.key = c.key AND g.pidx = c.pidx)"""
 _W = "(PARTITION BY key ORDER BY pidx"
 _B = f"""s AS (SELECT *, v - lag(v) OVER {_W}) AS d FROM y), m AS (SELECT *, avg(d) OVER {_W} ROWS UNBOUNDED PRECEDING) AS md FROM s),
