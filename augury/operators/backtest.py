@@ -74,7 +74,8 @@ def design_rows(y: np.ndarray, X: np.ndarray, pidx: np.ndarray, plan: Plan, sear
 
 
 def forecast_at(t: int, y: np.ndarray, X: np.ndarray, names: list[str], pidx: np.ndarray, plan: Plan, model: str) -> tuple[float, dict[str, float]] | None:
-    """The forecast of y[t + horizon] made at row t, and the largest coefficient of each signal; None where too few rows train it.
+    """The forecast of y[t + horizon] made at row t, and the largest coefficient of each signal (a forest, "rf", has none); None
+    where too few rows train it.
 
     Only rows up to t are looked at, and the target's own value at t only where it is known by then."""
     h, search = plan.horizon, model != "ar"
@@ -94,10 +95,13 @@ def forecast_at(t: int, y: np.ndarray, X: np.ndarray, names: list[str], pidx: np
     least = max(8, rows.shape[1] // 2) if model in ("ar", "ols") else 8
     if ok.sum() < least or np.isnan(rows[-1]).any():
         return None
+    level = base[-1] if plan.diff else 0.0
+    if model == "rf":
+        return M.forest(rows[ok], target[ok], rows[-1]) + level, {}
     coef = M.fitter(model, plan.lags)(rows[ok], target[ok])
     used = coef[1 + plan.lags : 1 + plan.lags + len(names) * (plan.x_lags + 1)].reshape(-1, plan.x_lags + 1) if search else np.zeros((0, 1))
     weight = {n: float(c[np.abs(c).argmax()]) for n, c in zip(names, used)}
-    return float(coef[0] + rows[-1] @ coef[1:] + (base[-1] if plan.diff else 0.0)), weight
+    return float(coef[0] + rows[-1] @ coef[1:] + level), weight
 
 
 def _arrays(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,6 +150,14 @@ def rolling(packed: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
     return d.mapInPandas(run, _schema(packed, keys, "model string, origin long, pidx long, y double, base double, p double, chosen array<string>"))
 
 
+def leakage(y: DataFrame, x: DataFrame, keys: list[str], plan: Plan, late: int = 1) -> DataFrame:
+    """``rolling`` on the target as it is (alignment "own") and on the target labelled ``late`` periods late ("late"), where each value
+    stands beside signals of periods after it. Much smaller errors of the latter show what a wrong label would have leaked."""
+    both = y.withColumn("alignment", F.explode(F.array(F.lit("own"), F.lit("late"))))
+    both = both.withColumn("pidx", F.col("pidx") + F.when(F.col("alignment") == "late", late).otherwise(0))
+    return rolling(pack(both, x.withColumn("alignment", F.explode(F.array(F.lit("own"), F.lit("late")))), [*keys, "alignment"]), [*keys, "alignment"], plan)
+
+
 def forward(packed: DataFrame, keys: list[str], plan: Plan, top: int = 12) -> DataFrame:
     """(keys, model, origin, pidx, p, features, nowcast): the forecast after each series' last known value.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,25 +33,54 @@ def normalise(df: DataFrame, request: list[str]) -> DataFrame:
     return df.withColumn("v", F.round(100 * F.try_divide("v", F.max("v").over(Window.partitionBy(*request)))))
 
 
-def asof_lags(low: DataFrame, high: DataFrame, keys: list[str], lags: int, weights: list[float]) -> DataFrame:
-    """The weighted sum of the last ``lags`` + 1 values of ``high`` (keys, ds, v) dated at or before ``low``'s ``ds``.
+def _past(low: DataFrame, high: DataFrame, keys: list[str], lags: int) -> DataFrame:
+    """(keys, ds, _p): the last ``lags`` + 1 values of ``high`` (keys, ds, v) dated at or before ``low``'s ``ds``, the latest first.
 
     One sort per series over the union of both sides in place of a range join. Low rows with fewer values before
-    them go. Values of one date count before the low row of that date."""
+    them have a null among theirs. Values of one date count before the low row of that date."""
     w = Window.partitionBy(*keys)
     back = w.orderBy("ds")
     h = high.select(*keys, "ds", F.col("v").cast("double").alias("v"))
     past = F.array(*[F.lag("v", j).over(back) if j else F.col("v") for j in range(lags + 1)])
     h = h.withColumn("_p", past).select(*keys, "ds", "_p", F.lit(0).alias("_o"))
     u = h.unionByName(low.select(*keys, "ds", F.lit(None).cast("array<double>").alias("_p"), F.lit(1).alias("_o")))
-    u = u.withColumn("_p", F.last("_p", True).over(w.orderBy("ds", "_o").rowsBetween(Window.unboundedPreceding, 0))).filter("_o = 1")
-    weights = weights[: lags + 1]
-    total = sum(weights)
-    terms = [F.col("_p")[j] * (x / total) for j, x in enumerate(weights)]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return u.select(*keys, "ds", out.alias("v")).filter("v is not null")
+    return u.withColumn("_p", F.last("_p", True).over(w.orderBy("ds", "_o").rowsBetween(Window.unboundedPreceding, 0))).filter("_o = 1")
+
+
+def _weighted(weights: list[float]):
+    out, total = F.lit(0.0), sum(weights)
+    for j, x in enumerate(weights):
+        out = out + F.col("_p")[j] * (x / total)
+    return out
+
+
+def asof_lags(low: DataFrame, high: DataFrame, keys: list[str], lags: int, weights: list[float]) -> DataFrame:
+    """The weighted sum of the last ``lags`` + 1 values of ``high`` at or before ``low``'s ``ds``; low rows with fewer go."""
+    return _past(low, high, keys, lags).select(*keys, "ds", _weighted(weights[: lags + 1]).alias("v")).filter("v is not null")
+
+
+#: The pairs of the exponential lag weights that are tried.
+MIDAS_GRID = ((0.0, 0.0), (-0.3, 0.0), (-0.7, 0.0), (0.3, -0.05), (0.0, -0.05), (-0.1, -0.02))
+
+
+def midas_grid(low: DataFrame, high: DataFrame, keys: list[str], lags: int, grid=MIDAS_GRID) -> DataFrame:
+    """(keys, ds, a, b, v): ``asof_lags`` with weights exp(a j + b j^2) for every pair of ``grid``, from one sort of each series."""
+    own = [(a, b, [math.exp(a * j + b * j * j) for j in range(lags + 1)]) for a, b in grid]
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _weighted(w).alias("v")) for a, b, w in own])
+    return _past(low, high, keys, lags).select(*keys, "ds", F.explode(rows).alias("r")).select(*keys, "ds", "r.*").filter("v is not null")
+
+
+def contest(shares: DataFrame, truth: DataFrame, national: DataFrame) -> DataFrame:
+    """Each (year, place, share) beside the margin of ``truth`` (year, place, margin) and the share and margin of the year in
+    ``national`` (year, nat_share, nat_margin): hit, whether the share's side won, rel_share and rel_margin, what is left without the
+    nation's, and rel_hit, whether these agree.
+
+    A share of one half, a null share or a place without a margin is neither hit nor miss. ``national`` is one row a year."""
+    j = shares.join(truth, ["year", "place"], "left").join(national, "year", "left")
+    j = j.withColumns({"rel_share": F.col("share") - F.col("nat_share"), "rel_margin": F.col("margin") - F.col("nat_margin")})
+    agree = lambda side, margin: F.when(F.col(side) != 0, (F.col(side) > 0) == (F.col(margin) > 0))
+    j = j.withColumn("_s", F.col("share") - 0.5)
+    return j.withColumns({"hit": agree("_s", "margin"), "rel_hit": agree("rel_share", "rel_margin")}).select("year", "place", "share", "margin", "hit", "rel_share", "rel_margin", "rel_hit")
 
 
 def anchored(df: DataFrame, anchor: str) -> DataFrame:

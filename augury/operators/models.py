@@ -177,6 +177,45 @@ def arlr(X: np.ndarray, y: np.ndarray, forced: int = 0, most: int = 10) -> np.nd
     return out
 
 
+def leaf(X: np.ndarray, y: np.ndarray, at: np.ndarray, rng: np.random.Generator, least: int, share: float) -> float:
+    """What a regression tree grown on (X, y) says at the point ``at``.
+
+    Only the nodes on the way to that point are grown: a node's split depends on its own rows and its own draw of columns, so
+    the rest of the tree has no say. A node splits where the squares fall most, with ``least`` rows on either side, on ``share``
+    of the columns, or on the others where none of those can split."""
+    p = X.shape[1]
+    m = max(1, int(p * share))
+    while len(y) >= 2 * least and np.ptp(y) > 0:
+        order, n = rng.permutation(p), len(y)
+        left = np.arange(least, n - least + 1)
+        for cols in (order[:m], order[m:]):
+            if not len(cols):
+                continue
+            by = X[:, cols].argsort(axis=0, kind="stable")
+            x = np.take_along_axis(X[:, cols], by, 0)
+            total = np.cumsum(y[by] - y.mean(), axis=0)[left - 1]
+            gain = np.where(x[left] > x[left - 1], total**2 / left[:, None] + total**2 / (n - left)[:, None], -1.0)
+            i, j = np.unravel_index(gain.argmax(), gain.shape)
+            if gain[i, j] >= 0:
+                break
+        else:
+            break
+        edge = (x[left[i] - 1, j] + x[left[i], j]) / 2
+        side = (X[:, cols[j]] <= edge) == (at[cols[j]] <= edge)
+        X, y = X[side], y[side]
+    return float(y.mean())
+
+
+def forest(X: np.ndarray, y: np.ndarray, at: np.ndarray, trees: int = 300, least: int = 3, share: float = 0.5) -> float:
+    """Mean over ``trees`` trees on rows drawn with repeats. The draws follow from the tree's number, so that a retry gives the same."""
+    out = 0.0
+    for i in range(trees):
+        rng = np.random.default_rng(i)
+        rows = rng.integers(0, len(y), len(y))
+        out += leaf(X[rows], y[rows], at, rng, least, share) / trees
+    return out
+
+
 def fitter(name: str, forced: int = 0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return {"ar": ols, "ols": ols, "ridge": ridge, "lasso": lasso, "enet": enet, "arlr": lambda X, y: arlr(X, y, forced)}[name]
 

@@ -10,7 +10,7 @@ from augury.operators import evaluate as E
 from augury.operators import series as S
 from augury.plans import run as R
 from augury.plans.catalogue import _R, _W, _X, _Y, K, _read, signal, target
-from augury.plans.forecasts import _all_orders, _packed, _preds
+from augury.plans.forecasts import _D, _all_orders, _daily, _packed, _preds
 
 
 def _windows(s, d):
@@ -43,6 +43,28 @@ def _list(s, d):
     return _read(s, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("keyword"))
 
 
+def _low_high(s, d):
+    days = _daily(s, d)
+    return days.select("key", F.last_day("ds").alias("ds")).distinct(), days
+
+
+def _contest(s, d):
+    """Share of urgent among urgent and high orders by year and nation, against the margin of their prices."""
+    o = _read(s, d, "orders").filter("o_orderpriority in ('1-URGENT', '2-HIGH')").join(_read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    up = F.col("o_orderpriority") == "1-URGENT"
+    share = F.avg(up.cast("double"))
+    margin = F.sum(F.when(up, F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))) / F.sum("o_totalprice")
+    o = o.withColumns({"year": F.year("o_orderdate").cast("long"), "place": F.col("c_nationkey").cast("long")})
+    by = o.groupBy("year", "place").agg(share.alias("share"), margin.alias("margin"))
+    nation = o.groupBy("year").agg(share.alias("nat_share"), margin.alias("nat_margin"))
+    return C.contest(by.select("year", "place", "share"), by.filter("place <> 3").select("year", "place", "margin"), nation)
+
+
+def _leakage(s, d):
+    p = B.leakage(_all_orders(s, d), _signals(s, d), K, B.Plan(lags=2, models=("ar", "ridge")))
+    return S.metrics(p, ["key", "alignment"], "ar").select("key", "alignment", "model", "n", "mae", "rmse", "oos_r2")
+
+
 QUERIES = {
     "benchmarks_h0": lambda s, d: _R(S.benchmarks(target(s, d), K, 0), "key", "pidx", "model", "y", "base", "p"),
     "benchmarks_lag": lambda s, d: _R(S.benchmarks(target(s, d), K, 2, known=False), "key", "pidx", "model", "y", "base", "p"),
@@ -76,6 +98,10 @@ QUERIES = {
     "run_metrics": lambda s, d: _run(s, d, "metrics"),
     "selection_report": lambda s, d: B.selection_report(B.rolling(_packed(s, d), K, B.Plan(models=("arlr",), chunk=8)), K),
     "cluster_stability": lambda s, d: B.cluster_stability(_packed(s, d), K, 36),
+    "midas_grid": lambda s, d: _R(C.midas_grid(*_low_high(s, d), K, 3), "key", "ds", "a", "b", "v"),
+    "contest": lambda s, d: _R(_contest(s, d), "year", "place", "share", "margin", "hit", "rel_share", "rel_margin", "rel_hit"),
+    "leakage": _leakage,
+    "forest_backtest": lambda s, d: B.rolling(_packed(s, d), K, B.Plan(models=("rf",), chunk=1)),
     "djorno_backtest": lambda s, d: B.rolling(_packed(s, d), K, B.Plan(lags=2, models=("ridge",), prep="djorno")),
 }
 
@@ -129,6 +155,14 @@ SELECT key, model, CAST(len(a) AS BIGINT) AS n, round(a[least(CAST(ceil(0.9 * (l
 SELECT batch, keyword FROM o UNION ALL SELECT DISTINCT batch, 'Brand#11' FROM o""",
     "individual": f"WITH {_X} SELECT key AS keyword, pidx, v FROM x",
     "union_columns": f"WITH {_X}, k AS (SELECT key AS keyword, pidx, v FROM x WHERE pidx % 5 <> length(key) % 2) SELECT a.keyword, b.pidx, k.v FROM (SELECT DISTINCT keyword FROM k) a CROSS JOIN (SELECT DISTINCT pidx FROM k) b LEFT JOIN k ON k.keyword = a.keyword AND k.pidx = b.pidx",
+    "midas_grid": f"""WITH {_D}, lo AS (SELECT DISTINCT key, last_day(ds) AS ds FROM n), j AS (SELECT lo.key, lo.ds, n.v, row_number() OVER (PARTITION BY lo.key, lo.ds ORDER BY n.ds DESC) - 1 AS j FROM lo JOIN n ON n.key = lo.key AND n.ds <= lo.ds),
+g(a, b) AS (VALUES (0.0::DOUBLE, 0.0::DOUBLE), (-0.3, 0.0), (-0.7, 0.0), (0.3, -0.05), (0.0, -0.05), (-0.1, -0.02))
+SELECT key, ds, a, b, round(sum(v * exp(a * j + b * j * j)) / sum(exp(a * j + b * j * j)), 6) AS v FROM j CROSS JOIN g WHERE j <= 3 GROUP BY 1, 2, 3, 4 HAVING count(*) = 4""",
+    "contest": """WITH o AS (SELECT year(o_orderdate) AS year, c_nationkey AS place, o_totalprice AS t, o_orderpriority = '1-URGENT' AS up FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
+n AS (SELECT year, avg(up::INT) AS ns, sum(CASE WHEN up THEN t ELSE -t END) / sum(t) AS nm FROM o GROUP BY 1),
+p AS (SELECT year, place, avg(up::INT) AS share, CASE WHEN place <> 3 THEN sum(CASE WHEN up THEN t ELSE -t END) / sum(t) END AS margin FROM o GROUP BY 1, 2)
+SELECT CAST(year AS BIGINT) AS year, CAST(place AS BIGINT) AS place, round(share, 6) AS share, round(margin, 6) AS margin, CASE WHEN share <> 0.5 THEN (share > 0.5) = (margin > 0) END AS hit,
+round(share - ns, 6) AS rel_share, round(margin - nm, 6) AS rel_margin, CASE WHEN share <> ns THEN (share > ns) = (margin > nm) END AS rel_hit FROM p JOIN n USING (year)""",
     "extend": f"WITH {_Y} SELECT key, pidx, v FROM y UNION ALL SELECT key, unnest([max(pidx) + 1, max(pidx) + 2, max(pidx) + 3]), NULL FROM y GROUP BY key",
     "signal_info": f"""WITH {_X}, {_ALL}, c AS (SELECT key, pidx, v, v - lag(v) OVER {_W}) AS dx FROM x), u AS (SELECT pidx, v - lag(v) OVER (ORDER BY pidx) AS dy FROM t)
 SELECT key, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0 END), 2) AS nonzero, round(corr(dx, dy), 2) AS corr FROM c LEFT JOIN u USING (pidx) GROUP BY 1""",

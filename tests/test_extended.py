@@ -19,7 +19,7 @@ from test_catalogue import SF, norm
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     db = duckdb.connect()
-    for t in ("orders", "lineitem", "part"):
+    for t in ("orders", "lineitem", "part", "customer"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, cur = QUERIES[name](spark, SF), db.execute(ORACLE_SQL[name])
     got, want = norm([tuple(r) for r in df.collect()], df.columns), norm(cur.fetchall(), [c[0] for c in cur.description])
