@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from augury.operators import arima as A
 from augury.operators import models as M
 from augury.operators.preprocess import prepare
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What a backtest fits. ``known``: the value of the origin's own period is out by then."""
+    """What a backtest fits. ``known``: the value of the origin's own period is out by then. ``order`` and ``seasonal`` are those of
+    the models "arima" (the target's own past) and "arimax" (the signals too)."""
 
     horizon: int = 1
     lags: int = 1
@@ -36,6 +38,8 @@ class Plan:
     diff: bool = False
     prep: str = "raw"
     chunk: int = 32
+    order: tuple[int, int, int] = (1, 0, 0)
+    seasonal: tuple[int, int, int, int] = (0, 0, 0, 0)
     models: tuple[str, ...] = field(default=("ar", "ols", "ridge"))
 
 
@@ -73,11 +77,30 @@ def design_rows(y: np.ndarray, X: np.ndarray, pidx: np.ndarray, plan: Plan, sear
     return np.column_stack(cols)
 
 
+def arima_at(t: int, y: np.ndarray, X: np.ndarray, names: list[str], plan: Plan, search: bool) -> float | None:
+    """The forecast of y[t + horizon] at row t by ARIMA errors; a target's signals are those of ``horizon`` periods before it."""
+    h, known = plan.horizon, plan.known and plan.horizon >= 1
+    lo = 0 if plan.window is None else max(0, t + 1 - plan.window)
+    end = t + 1 if known else t
+    if search and X.shape[1]:
+        Xw, _ = prepare(X[lo : t + 1], names, plan.prep, plan.period)
+        own, Xw, ahead = y[lo + h : end], Xw[: max(end - lo - h, 0)], Xw[max(end - lo - h, 0) :]
+    else:
+        own = y[lo:end]
+        Xw, ahead = np.zeros((len(own), 0)), np.zeros((t + 1 + h - end, 0))
+    if len(own) < A.needed(Xw.shape[1], plan.order, plan.seasonal) or np.isnan(own).any():
+        return None
+    return A.forecast(A.fit(own, Xw, plan.order, plan.seasonal), own, Xw, ahead, plan.order, plan.seasonal)
+
+
 def forecast_at(t: int, y: np.ndarray, X: np.ndarray, names: list[str], pidx: np.ndarray, plan: Plan, model: str) -> tuple[float, dict[str, float]] | None:
-    """The forecast of y[t + horizon] made at row t, and the largest coefficient of each signal (a forest, "rf", has none); None
-    where too few rows train it.
+    """The forecast of y[t + horizon] made at row t, and the largest coefficient of each signal (none for "rf", "arima" and
+    "arimax"); None where too few rows train it.
 
     Only rows up to t are looked at, and the target's own value at t only where it is known by then."""
+    if model in ("arima", "arimax"):
+        p = arima_at(t, y, X, names, plan, model == "arimax")
+        return None if p is None else (p, {})
     h, search = plan.horizon, model != "ar"
     known = plan.known and h >= 1
     lo = 0 if plan.window is None else max(0, t + 1 - plan.window)

@@ -65,6 +65,12 @@ def _leakage(s, d):
     return S.metrics(p, ["key", "alignment"], "ar").select("key", "alignment", "model", "n", "mae", "rmse", "oos_r2")
 
 
+def _one_signal(s, d):
+    """All orders beside the sum of the signals."""
+    x = signal(s, d).groupBy("pidx").agg(F.sum("v").alias("v"))
+    return B.pack(_all_orders(s, d), x.select(F.lit("all").alias("key"), F.lit("lines").alias("keyword"), "pidx", "v"), K)
+
+
 QUERIES = {
     "benchmarks_h0": lambda s, d: _R(S.benchmarks(target(s, d), K, 0), "key", "pidx", "model", "y", "base", "p"),
     "benchmarks_lag": lambda s, d: _R(S.benchmarks(target(s, d), K, 2, known=False), "key", "pidx", "model", "y", "base", "p"),
@@ -102,6 +108,8 @@ QUERIES = {
     "contest": lambda s, d: _R(_contest(s, d), "year", "place", "share", "margin", "hit", "rel_share", "rel_margin", "rel_hit"),
     "leakage": _leakage,
     "forest_backtest": lambda s, d: B.rolling(_packed(s, d), K, B.Plan(models=("rf",), chunk=1)),
+    "arima_backtest": lambda s, d: _R(B.rolling(B.pack(target(s, d), None, K), K, B.Plan(models=("arima",))), "key", "model", "origin", "pidx", "y", "base", "p"),
+    "arimax_backtest": lambda s, d: B.rolling(_one_signal(s, d), K, B.Plan(models=("arima", "arimax"), order=(1, 0, 1), seasonal=(1, 0, 0, 12), horizon=2, known=False, chunk=8)),
     "djorno_backtest": lambda s, d: B.rolling(_packed(s, d), K, B.Plan(lags=2, models=("ridge",), prep="djorno")),
 }
 
@@ -158,6 +166,10 @@ SELECT batch, keyword FROM o UNION ALL SELECT DISTINCT batch, 'Brand#11' FROM o"
     "midas_grid": f"""WITH {_D}, lo AS (SELECT DISTINCT key, last_day(ds) AS ds FROM n), j AS (SELECT lo.key, lo.ds, n.v, row_number() OVER (PARTITION BY lo.key, lo.ds ORDER BY n.ds DESC) - 1 AS j FROM lo JOIN n ON n.key = lo.key AND n.ds <= lo.ds),
 g(a, b) AS (VALUES (0.0::DOUBLE, 0.0::DOUBLE), (-0.3, 0.0), (-0.7, 0.0), (0.3, -0.05), (0.0, -0.05), (-0.1, -0.02))
 SELECT key, ds, a, b, round(sum(v * exp(a * j + b * j * j)) / sum(exp(a * j + b * j * j)), 6) AS v FROM j CROSS JOIN g WHERE j <= 3 GROUP BY 1, 2, 3, 4 HAVING count(*) = 4""",
+    # An autoregression of order one by least conditional squares is a regression on the value before.
+    "arima_backtest": f"""WITH {_Y}, i AS (SELECT *, row_number() OVER {_W}) - 1 AS i, lead(v) OVER {_W}) AS t, lead(pidx) OVER {_W}) AS tp FROM y),
+f AS (SELECT *, regr_slope(t, v) OVER w AS s, regr_intercept(t, v) OVER w AS c FROM i WINDOW w AS {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT key, 'arima' AS model, pidx AS origin, tp AS pidx, t AS y, v AS base, round(c + s * v, 6) AS p FROM f WHERE i >= 24 AND t IS NOT NULL""",
     "contest": """WITH o AS (SELECT year(o_orderdate) AS year, c_nationkey AS place, o_totalprice AS t, o_orderpriority = '1-URGENT' AS up FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
 n AS (SELECT year, avg(up::INT) AS ns, sum(CASE WHEN up THEN t ELSE -t END) / sum(t) AS nm FROM o GROUP BY 1),
 p AS (SELECT year, place, avg(up::INT) AS share, CASE WHEN place <> 3 THEN sum(CASE WHEN up THEN t ELSE -t END) / sum(t) END AS margin FROM o GROUP BY 1, 2)
