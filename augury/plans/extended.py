@@ -11,6 +11,7 @@ from augury.operators import series as S
 from augury.plans import run as R
 from augury.plans.catalogue import _R, _W, _X, _Y, K, _read, signal, target
 from augury.plans.forecasts import _D, _all_orders, _daily, _packed, _preds
+from augury.sinks import report as O
 
 
 def _windows(s, d):
@@ -38,6 +39,11 @@ def _run(s, d, table):
     return R.run(_all_orders(s, d), _signals(s, d), K, _spec())[table]
 
 
+def _report(s, d):
+    y = _all_orders(s, d)
+    return O.outputs(R.run(y, _signals(s, d), K, _spec()), y, K, "Orders a month")
+
+
 def _list(s, d):
     """Part brands as a request list with repeats, in the order of the parts."""
     return _read(s, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("keyword"))
@@ -101,6 +107,7 @@ QUERIES = {
     "records": lambda s, d: signal(s, d).groupBy("key").agg(F.to_json(F.array_sort(F.collect_list(F.struct("pidx", F.col("v").cast("long").alias("v"))))).alias("rows")),
     "two_views": lambda s, d: _run(s, d, "verdicts").select("key", "h", "model", "use"),
     "run_forecast": lambda s, d: _run(s, d, "forecasts"),
+    "run_report": _report,
     "run_metrics": lambda s, d: _run(s, d, "metrics"),
     "selection_report": lambda s, d: B.selection_report(B.rolling(_packed(s, d), K, B.Plan(models=("arlr",), chunk=8)), K),
     "cluster_stability": lambda s, d: B.cluster_stability(_packed(s, d), K, 36),
