@@ -9,8 +9,12 @@ confirms each link. A pair at the bar shares no band with chance 3e-7 at 0.85 an
 Equal sets are one node. In each band's bucket all nodes first meet its hub, the node whose buckets are fullest, so that n
 copies of one text cost n pairs. Nodes that stay outside the hub's component then meet the others in tiles of bounded size
 inside Python workers, which find the rows with likely partners and then, with their sets, emit only true links between
-components. A bucket with many such nodes (texts that share a passage) is divided by second bands first: nodes meet there when
-they share two bands, which a pair at the bar fails with chance 5e-6 (0.8: 8e-4)."""
+components.
+
+The nodes of a bucket with many such nodes (texts that share a passage) are joined by their full sets instead, whatever bands
+they share: all shingles stand in one order, rarest first, and two sets at the bar have in common one of the first shingles of
+each (a prefix filter, which loses no pair). The order comes from counts in hashed cells and decides only how much is compared.
+Such pairs are thinned ten standard deviations below the bar, a chance of 1e-16, less than that of equal hashes."""
 
 from __future__ import annotations
 
@@ -24,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, binaries, hot_keys, hot_lookup, matrix, mix, salted_join, shingle_sets, slices
 
 BUCKETS, BANDS, ROWS, MANTISSA = 256, 32, 6, 10
-#: Rows and shingles of a tile, and the number of unlinked nodes from which a bucket is divided by second bands.
-TILE, LOAD, CROWD = 1024, 4 << 20, 4096
+#: Rows and shingles of a tile, the number of unlinked nodes from which a bucket's nodes are joined by prefixes, and the cells that
+#: count shingles for their order.
+TILE, LOAD, CROWD, CELLS = 1024, 4 << 20, 4096, 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SLOT = np.arange(BUCKETS)
 #: Probe paths of empty buckets: 64 hashed places, then each bucket in turn.
@@ -76,9 +81,9 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return ((a == b).mean(axis=1) - chance) / (1 - chance)
 
 
-def _bar(percent: int) -> float:
+def _bar(percent: int, deviations: int = 5) -> float:
     p = percent / 100
-    return p - 5 * (p * (1 - p) / BUCKETS) ** 0.5
+    return p - deviations * (p * (1 - p) / BUCKETS) ** 0.5
 
 
 def _marks(k: int):
@@ -143,7 +148,48 @@ def _keep_true(percent: int):
     return run
 
 
-_TILE_ROWS = "tile long, side int, band int, mask long, comp long, node long, n long, regs binary"
+def _cells(batches):
+    """How many shingles fall in each cell."""
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for part in slices(batch, "shingles"):
+            flat = np.frombuffer(b"".join(x.as_buffer() for x in part.column("shingles")), np.uint64)
+            at, n = np.unique(flat % np.uint64(CELLS), return_counts=True)
+            counts[at.astype(np.int64)] += n
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["cell", "cnt"])
+
+
+def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, places, short) of a sorted set that may be the first in common with a set at the bar.
+
+    In the order of ``counts`` by cell and then hash, all of the common shingles stand from the first one on. They are at least
+    ``percent`` of the longer set, and 2 * percent / (100 + percent) of the shorter one (``short``: the place allows that too). A
+    shingle alone in its cell is in no other set."""
+    n, seen = len(s), counts[(s % np.uint64(CELLS)).astype(np.int64)]
+    place = np.arange(n * (100 - percent) // 100 + 1)
+    first = np.argsort(seen, kind="stable")[: len(place)]
+    place = place[: len(first)]
+    shared = seen[first] > 1
+    first, place = first[shared], place[shared]
+    return s[first], place, (100 + percent) * (n - place) >= 2 * percent * n
+
+
+def _prefixes(percent: int, counts):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "shingles"):
+                found = [prefix(np.frombuffer(x.as_buffer(), np.uint64), counts.value, percent) for x in part.column("shingles")]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+                keys, places, short = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(places.astype(np.int32)), pa.array(short), *[part.column(c).take(row) for c in ("node", "n", "comp")]],
+                    names=["bucket", "place", "short", "node", "n", "comp"])
+    return run
+
+
+_SLIM_ROWS = "tile long, side int, band int, place int, comp long, node long, n long"
+_TILE_ROWS = _SLIM_ROWS + ", mask long, regs binary"
 
 
 def _by_tile(batches, work):
@@ -163,12 +209,15 @@ def _by_tile(batches, work):
 
 
 def _likely_pairs(part: pa.RecordBatch, percent: int) -> np.ndarray:
-    """Row numbers (2, pairs) of the likely pairs of different components in each tile.
-
-    A pair that shares an earlier band in whose tiles both stand (``mask``) is left to that band."""
-    bar = _bar(percent)
-    key, side, band, mask, comp, node, n = (_numbers(part, c) for c in ("tile", "side", "band", "mask", "comp", "node", "n"))
-    regs = matrix(part.column("regs"), BUCKETS)
+    """Row numbers (2, pairs) of the likely pairs of different components in each tile; without registers, of the possible ones.
+
+    A pair that shares an earlier band in whose tiles both stand (``mask``) is left to that band. ``place`` is that of the tile's
+    shingle in the node's order (0 for a band's tile); what is before the first common one is not common."""
+    key, side, band, place, comp, node, n = (_numbers(part, c) for c in ("tile", "side", "band", "place", "comp", "node", "n"))
+    slim = "regs" not in part.schema.names
+    if not slim:
+        mask, regs, bar = _numbers(part, "mask"), matrix(part.column("regs"), BUCKETS), np.where(band == BANDS, _bar(percent, 10), _bar(percent))
+    rest = (n - place) * (100 + percent)
     ends = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
     ends = np.repeat(ends, np.diff(ends, prepend=0))
     found = [np.zeros((2, 0), np.int64)]
@@ -183,9 +232,12 @@ def _likely_pairs(part: pa.RecordBatch, percent: int) -> np.ndarray:
             i = np.repeat(some, size)
             j = np.repeat(at[some] + 1 - (np.cumsum(size) - size), size) + np.arange(len(i))
             ok = (comp[i] != comp[j]) & (node[i] != node[j]) & ((side[i] == 0) | (side[i] != side[j]))
-            ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            ok &= np.minimum(rest[i], rest[j]) >= percent * (n[i] + n[j])
             i, j = i[ok], j[ok]
-            ok = estimate(regs[i], regs[j], n[i], n[j]) >= bar
+            if slim:
+                found.append(np.stack([i, j]))
+                continue
+            ok = estimate(regs[i], regs[j], n[i], n[j]) >= bar[i]
             i, j = i[ok], j[ok]
             same = (regs[i, : BANDS * ROWS] == regs[j, : BANDS * ROWS]).reshape(len(i), BANDS, ROWS).all(axis=2)
             seen = (same << np.arange(BANDS)).sum(axis=1) & mask[i] & mask[j] & ((1 << band[i].astype(np.int64)) - 1)
@@ -273,19 +325,20 @@ class _Search:
         p = self.with_both(pairs, sets, {"shingles": "s"}, hot)
         return self.scratch.cut(p.mapInArrow(_keep_true(self.percent), "a long, b long").distinct(), "links")
 
-    def crowds(self, members: DataFrame, sets: DataFrame, masks: DataFrame | None, divide: bool) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-        """(links found in the buckets, members of those to divide, masks of bands looked at).
+    def crowds(self, members: DataFrame, sets: DataFrame, masks: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+        """(links found in the buckets, nodes of those left to prefixes, masks of bands looked at).
 
-        ``members``: bucket, band, node, n, comp, outside (of the hub's component), one row a node and bucket."""
+        ``members``: bucket, band, place, node, n, comp, outside (pairs with all of the bucket), one row a node and bucket. With
+        ``masks`` they are buckets of prefixes, none of which is left."""
         heads = members.groupBy("bucket").agg(
             F.sum(F.col("outside").cast("long")).alias("outs"), F.count("*").alias("size"), F.sum("n").alias("load"),
             F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0)).alias("out_load")).filter("outs > 0 and size > 1")
         total = members.count()
         m = hot_lookup(members, heads.withColumn("cnt", F.col("size")), "bucket", "cnt", total).filter("outs is not null")
-        m = self.scratch.cut(m, "crowds")
-        crowd = m.filter(F.col("outs") > CROWD).select("bucket", "node", "n", "comp", "outside") if divide else None
-        m = m.filter(F.col("outs") <= CROWD) if divide else m
-        if masks is None:
+        m, crowd, prefixes = self.scratch.cut(m, "crowds"), None, masks is not None
+        if not prefixes:
+            crowd = m.filter(F.col("outs") > CROWD).select("node", "n").distinct()
+            m = m.filter(F.col("outs") <= CROWD)
             masks = self.scratch.cut(m.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask")), "masks")
         # Tiles of nodes outside the main component come first; those pair with every tile, the others only with them.
         count = lambda rows, load: F.greatest(F.ceil(rows / TILE), F.ceil(load / LOAD)).cast("int")
@@ -297,13 +350,43 @@ class _Search:
         m = m.withColumn("own", own)
         m = m.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("own") < F.col("o"), F.col("t") - 1).otherwise(F.col("o") - 1))))
         side = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2)
-        m = m.select(F.xxhash64("bucket", F.least("own", "with"), F.greatest("own", "with")).alias("tile"), side.alias("side"), "band", "comp", "node")
-        known = self.nodes.join(masks, "node", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+        m = m.withColumns({"tile": F.xxhash64("bucket", F.least("own", "with"), F.greatest("own", "with")), "side": side})
+        m = m.select(*[c.split()[0] for c in _SLIM_ROWS.split(", ")])
+        if prefixes:  # most rows have no partner by size and place, so registers come after that
+            m = m.repartition("tile").sortWithinPartitions("tile").mapInArrow(_likely_rows(self.percent), _SLIM_ROWS)
+            m = self.scratch.cut(m, "possible_rows")
+        known = self.nodes.drop("n").join(masks, "node", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
         m = m.join(known, "node").select(*[c.split()[0] for c in _TILE_ROWS.split(", ")])
         m = m.repartition("tile").sortWithinPartitions("tile").mapInArrow(_likely_rows(self.percent), _TILE_ROWS)
         m = self.scratch.cut(m, "likely_rows").join(sets, "node").repartition("tile").sortWithinPartitions("tile")
         return self.scratch.cut(m.mapInArrow(_true_links(self.percent), "a long, b long").distinct(), "rest"), crowd, masks
 
+    def by_prefixes(self, crowd: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+        """Members of a bucket for each shingle in the prefixes of nodes that ``links`` leave in different components.
+
+        All pairs at the bar share such a bucket, and the shorter of the two (either, if equal) has its shingle as ``short``."""
+        comps = components(links).withColumnRenamed("id", "node")
+        held = crowd.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(sets, "node")
+        held = self.scratch.cut(held, "held")
+        seen = held.select("shingles").mapInArrow(_cells, "cell int, cnt long").groupBy("cell").agg(F.sum("cnt").alias("cnt")).toArrow()
+        counts = np.zeros(CELLS, np.int64)
+        counts[seen.column("cell").to_numpy()] = seen.column("cnt").to_numpy()
+        counts = self.scratch.spark.sparkContext.broadcast(counts)
+        rows = held.mapInArrow(_prefixes(self.percent, counts), "bucket long, place int, short boolean, node long, n long, comp long")
+        rows = self.scratch.cut(rows, "prefixes")
+        counts.destroy()
+        mixed = rows.groupBy("bucket").agg(
+            F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.col("short").cast("long")).alias("shorts")
+        ).filter("lo < hi and shorts > 0").select("bucket", "size", "shorts")
+        rows = self.scratch.cut(hot_lookup(rows, mixed.withColumn("cnt", F.col("size")), "bucket", "cnt", rows.count()).filter("size is not null"), "mixed")
+        self.scratch.free()
+        main = rows.groupBy("bucket", "comp").agg(F.count("*").alias("own"), F.first("size").alias("cnt"))
+        main = main.groupBy("bucket").agg(F.max(F.struct("own", "comp")).alias("x"), F.first("cnt").alias("cnt")).select("bucket", "cnt", F.col("x.own").alias("own"), F.col("x.comp").alias("main"))
+        rows = hot_lookup(rows, main, "bucket", "cnt", rows.count())
+        # Pairs at the bar have a short end, and one outside the largest component: the fewer of these lead the bucket.
+        outside = F.when(F.col("shorts") <= F.col("size") - F.col("own"), F.col("short")).otherwise(F.col("comp") != F.col("main"))
+        return self.scratch.cut(rows.select("bucket", F.lit(BANDS).alias("band"), "place", "node", "n", "comp", outside.alias("outside")), "members")
+
     def links(self) -> DataFrame:
         """Links that join all that the full link graph joins."""
         rows = self.nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
@@ -330,20 +413,15 @@ class _Search:
         hub_comps = hub_comps.join(comps.withColumnRenamed("node", "hub"), "hub", "left").select("hub", "cnt", F.coalesce("comp", "hub").alias("main"))
         each = each.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         each = hot_lookup(each, hub_comps, "hub", "cnt", total).withColumn("outside", F.col("comp") != F.col("main"))
-        members = self.scratch.cut(each.select("bucket", "band", "node", "n", "comp", "outside"), "members")
-        level, masks = 0, None
-        while members is not None and not members.isEmpty():
-            more, crowd, masks = self.crowds(members, sets, masks, divide=level < 2)
-            links = links.unionByName(more)
-            members, level = self.divided(crowd) if crowd is not None else None, level + 1
-        return links
-
-    def divided(self, crowd: DataFrame) -> DataFrame:
-        """The members of crowded buckets, in a bucket for each two of a node's crowded buckets."""
-        at = crowd.groupBy("node", "comp").agg(F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("bucket", "outside"))).alias("at"))
-        two = "flatten(transform(at, (x, i) -> transform(slice(at, i + 2, size(at)), y -> struct(xxhash64(x.bucket, y.bucket) as bucket, x.outside or y.outside as outside))))"
-        out = at.filter("size(at) > 1").select("node", "n", "comp", F.explode(F.expr(two)).alias("x")).select("x.bucket", F.lit(BANDS).alias("band"), "node", "n", "comp", "x.outside")
-        return self.scratch.cut(out.groupBy("bucket", "band", "node", "n", "comp").agg(F.max("outside").alias("outside")), "divided")
+        members = self.scratch.cut(each.select("bucket", "band", F.lit(0).alias("place"), "node", "n", "comp", "outside"), "members")
+        if members.isEmpty():
+            return links
+        more, crowd, masks = self.crowds(members, sets)
+        links = links.unionByName(more)
+        crowd = self.scratch.cut(crowd, "crowd")
+        if crowd.isEmpty():
+            return links
+        return links.unionByName(self.crowds(self.by_prefixes(crowd, sets, links), sets, masks)[0])
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,45 @@ def test_near_duplicates_crowded_bucket(spark, monkeypatch):
     check_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
 
 
+def test_near_duplicates_crowds_lose_no_pair(spark, monkeypatch):
+    """Texts with one passage in common, all buckets crowded: links whose ends share a single band are found."""
+    monkeypatch.setattr(near_dups, "CROWD", 0)
+    monkeypatch.setattr(near_dups, "TILE", 16)
+    rng = random.Random(7)
+    passage, texts = [f"p{i}" for i in range(82)], []
+    for i in range(400):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(26, 42))]
+        pair = [" ".join(passage + own), " ".join(passage[rng.randrange(4) :] + own[: rng.randrange(12, 26)] + [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(16))])]
+        keys = near_dups.bands(near_dups.registers(near_dups.shingle_sets(pa.array(pair), 3)))
+        if (keys[0] == keys[1]).sum() == 1 or i < 30:
+            texts += pair
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_groups(docs, 3, 70)
+
+
+def test_prefixes_of_pairs_at_the_bar_meet():
+    """In a bad order too (few cells filled, many ties), sets at the bar share a prefix shingle at places that the size filter lets through."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    met = 0
+    for trial in range(3000):
+        percent = int(rng.choice([50, 60, 80, 85, 100]))
+        pool = np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64))
+        size = rng.integers(1, 60)
+        s = np.sort(rng.choice(pool, size, replace=False))
+        t = np.unique(np.concatenate([s[rng.random(size) < rng.choice([0.8, 0.95, 1])], rng.choice(pool, rng.integers(0, 6))]))
+        if not near_dups._alike(s, t, percent):
+            continue
+        counts = rng.integers(2, 5, near_dups.CELLS)
+        (a, i, short_a), (b, j, short_b) = (near_dups.prefix(x, counts, percent) for x in (s, t))
+        both, x, y = np.intersect1d(a, b, return_indices=True)
+        ok = np.minimum(len(s) - i[x], len(t) - j[y]) * (100 + percent) >= percent * (len(s) + len(t))
+        ok &= short_a[x] if len(s) < len(t) else short_b[y] if len(t) < len(s) else short_a[x] & short_b[y]
+        assert ok.any()
+        met += 1
+    assert met > 500
+
+
 def test_near_duplicates_edges(spark):
     long = " ".join(f"w{i % 7919}-{i // 7919}" for i in range(400_000))
     rows = [(1, "a b c d e f g h"), (1, "q r s t u v w x"), (2, "q r s t u v w x"), (3, "A B C D E F G H"), (4, None), (5, ""), (6, " \n "), (None, "a b c d e f g h"), (7, long), (8, long + " end"), (9, "one"), (9, "one")]
