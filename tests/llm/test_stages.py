@@ -1,9 +1,11 @@
 """Each stage of the corpus pipeline, on what the stage before kept, against brute force."""
 
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from augury.llm import toxicity
+import pyarrow as pa
+from augury.llm import near_dups, toxicity
 from augury.llm.common import cut, table
 from test_whole import groups, shingles, words
 
@@ -65,3 +67,21 @@ def test_repeated_rows_and_nulls(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted([(5, min(text, "other words " * 5)), (0, text), (8, ""), (9, "")])
+
+
+def test_near_duplicates_in_crowds(spark, tmp_path, monkeypatch):
+    """Texts with one passage in common, all buckets crowded: pairs that share one or two bands leave one row."""
+    monkeypatch.setattr(near_dups, "CROWD", 0)
+    rng = random.Random(3)
+    passage, pairs = " ".join(f"p{i}" for i in range(104)), []
+    for _ in range(6000):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(28)]
+        pairs += [f"{passage} {' '.join(own)}", f"{passage} {' '.join(own[:14])} {' '.join(f'v{rng.randrange(10**6)}' for _ in range(14))}"]
+    keys = near_dups.bands(near_dups.registers(near_dups.shingle_sets(pa.array(pairs), 5)))
+    few = (keys[::2] == keys[1::2]).sum(axis=1) <= 2
+    texts = [x for i in range(6000) if 0 < (keys[2 * i] == keys[2 * i + 1]).sum() and (few[i] or i < 20) for x in pairs[2 * i : 2 * i + 2]]
+    assert few.sum() > 3
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    least = groups({i: shingles(t, 5) for i, t in enumerate(texts)}, 80)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()} == {d for d, c in least.items() if d == c}
+    assert len(set(least.values())) == len(texts) // 2
