@@ -112,8 +112,10 @@ def _sets(k: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [s.tobytes() for s in shingle_sets(part.column("text"), k)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), binaries(rows)], names=["doc_id", "shingles"])
+                sets = shingle_sets(part.column("text"), k)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), binaries([s.tobytes() for s in sets])],
+                    names=["node", "n", "shingles"])
     return run
 
 
@@ -328,8 +330,9 @@ class _Search:
     def crowds(self, members: DataFrame, sets: DataFrame, masks: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
         """(links found in the buckets, nodes of those left to prefixes, masks of bands looked at).
 
-        ``members``: bucket, band, place, node, n, comp, outside (pairs with all of the bucket), one row a node and bucket. With
-        ``masks`` they are buckets of prefixes, none of which is left."""
+        ``members``: bucket, band, place, node, n, comp, outside (pairs with all of the bucket), one row a node, size of set and
+        bucket: a doc_id with different texts has several sets, and each pair needs the size of its own. With ``masks`` they are
+        buckets of prefixes, none of which is left."""
         heads = members.groupBy("bucket").agg(
             F.sum(F.col("outside").cast("long")).alias("outs"), F.count("*").alias("size"), F.sum("n").alias("load"),
             F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0)).alias("out_load")).filter("outs > 0 and size > 1")
@@ -338,8 +341,11 @@ class _Search:
         m, crowd, prefixes = self.scratch.cut(m, "crowds"), None, masks is not None
         if not prefixes:
             crowd = m.filter(F.col("outs") > CROWD).select("node", "n").distinct()
+            # Sets of one doc_id and size have one mask, so a band counts only where none of them is in a crowded bucket.
+            bit = lambda now: F.bit_or(F.when(now, F.expr("shiftleft(1L, band)")).otherwise(0))
+            masks = m.groupBy("node", "n").agg(bit(F.col("outs") <= CROWD).bitwiseAND(F.bitwise_not(bit(F.col("outs") > CROWD))).alias("mask"))
+            masks = self.scratch.cut(masks.filter("mask <> 0"), "masks")
             m = m.filter(F.col("outs") <= CROWD)
-            masks = self.scratch.cut(m.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask")), "masks")
         # Tiles of nodes outside the main component come first; those pair with every tile, the others only with them.
         count = lambda rows, load: F.greatest(F.ceil(rows / TILE), F.ceil(load / LOAD)).cast("int")
         whole = count(F.col("size"), F.col("load")) == 1
@@ -355,10 +361,10 @@ class _Search:
         if prefixes:  # most rows have no partner by size and place, so registers come after that
             m = m.repartition("tile").sortWithinPartitions("tile").mapInArrow(_likely_rows(self.percent), _SLIM_ROWS)
             m = self.scratch.cut(m, "possible_rows")
-        known = self.nodes.drop("n").join(masks, "node", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-        m = m.join(known, "node").select(*[c.split()[0] for c in _TILE_ROWS.split(", ")])
+        known = self.nodes.join(masks, ["node", "n"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+        m = m.join(known, ["node", "n"]).select(*[c.split()[0] for c in _TILE_ROWS.split(", ")])
         m = m.repartition("tile").sortWithinPartitions("tile").mapInArrow(_likely_rows(self.percent), _TILE_ROWS)
-        m = self.scratch.cut(m, "likely_rows").join(sets, "node").repartition("tile").sortWithinPartitions("tile")
+        m = self.scratch.cut(m, "likely_rows").join(sets, ["node", "n"]).repartition("tile").sortWithinPartitions("tile")
         return self.scratch.cut(m.mapInArrow(_true_links(self.percent), "a long, b long").distinct(), "rest"), crowd, masks
 
     def by_prefixes(self, crowd: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
@@ -366,7 +372,7 @@ class _Search:
 
         All pairs at the bar share such a bucket, and the shorter of the two (either, if equal) has its shingle as ``short``."""
         comps = components(links).withColumnRenamed("id", "node")
-        held = crowd.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(sets, "node")
+        held = crowd.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(sets, ["node", "n"])
         held = self.scratch.cut(held, "held")
         seen = held.select("shingles").mapInArrow(_cells, "cell int, cnt long").groupBy("cell").agg(F.sum("cnt").alias("cnt")).toArrow()
         counts = np.zeros(CELLS, np.int64)
@@ -394,12 +400,12 @@ class _Search:
         total = sizes.agg(F.sum("size")).first()[0] or 0
         met = hot_lookup(rows, sizes.withColumn("cnt", F.col("size")), "bucket", "cnt", total).filter("size is not null")
         # A node's buckets come together again, so that their sizes give its weight; a node has at most BANDS a set.
-        met = met.groupBy("node").agg(F.max("n").alias("n"), F.collect_set(F.struct("bucket", "band", "size")).alias("at"))
+        met = met.groupBy("node", "n").agg(F.collect_set(F.struct("bucket", "band", "size")).alias("at"))
         met = self.scratch.cut(met.withColumn("weight", F.expr("aggregate(at, 0L, (x, y) -> x + y.size)")), "met")
         # Only the nodes that share a bucket are looked at from here on.
-        self.nodes = self.scratch.cut(self.nodes.join(met.select("node").hint("merge"), "node", "left_semi").select("node", "n", "regs"), "nodes")
+        self.nodes = self.scratch.cut(self.nodes.join(met.select("node", "n").hint("merge"), ["node", "n"], "left_semi").select("node", "n", "regs"), "nodes")
         wanted = self.texts.join(met.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").distinct()
-        sets = self.scratch.cut(wanted.mapInArrow(_sets(self.k), "doc_id long, shingles binary").withColumnRenamed("doc_id", "node"), "sets")
+        sets = self.scratch.cut(wanted.mapInArrow(_sets(self.k), "node long, n long, shingles binary"), "sets")
         each = met.select("node", "n", "weight", F.explode("at").alias("x")).select("node", "n", "weight", "x.bucket", "x.band")
         hubs = each.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("least"))).alias("best"), F.count("*").alias("cnt"))
         hubs = self.scratch.cut(hubs.select("bucket", "cnt", (-F.col("best.least")).alias("hub")), "hubs")

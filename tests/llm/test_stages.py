@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pyarrow as pa
+import pytest
 from augury.llm import near_dups, toxicity
 from augury.llm.common import cut, table
 from test_whole import groups, shingles, words
@@ -85,3 +86,25 @@ def test_near_duplicates_in_crowds(spark, tmp_path, monkeypatch):
     least = groups({i: shingles(t, 5) for i, t in enumerate(texts)}, 80)
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()} == {d for d, c in least.items() if d == c}
     assert len(set(least.values())) == len(texts) // 2
+
+
+@pytest.mark.parametrize("crowd", [near_dups.CROWD, 0])
+def test_near_duplicates_of_repeated_ids(spark, tmp_path, monkeypatch, crowd):
+    """A doc_id with a short and a long text: each pair is held against the size of its own set, in buckets and by prefixes."""
+    monkeypatch.setattr(near_dups, "CROWD", crowd)
+    rng = random.Random(3)
+    passage, pairs = " ".join(f"p{i}" for i in range(104)), []
+    for _ in range(3000):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(28)]
+        pairs += [f"{passage} {' '.join(own)}", f"{passage} {' '.join(own[:14])} {' '.join(f'v{rng.randrange(10**6)}' for _ in range(14))}"]
+    keys = near_dups.bands(near_dups.registers(near_dups.shingle_sets(pa.array(pairs), 5)))
+    common = (keys[::2] == keys[1::2]).sum(axis=1)
+    rows = []
+    for a, b, n in zip(pairs[::2], pairs[1::2], common):
+        if n in (1, 2, 3):  # most meet in no bucket of their own
+            at, long = 3 * (len(rows) // 4), [f"u{rng.randrange(10**7)}" for _ in range(900)]
+            rows += [(at, a), (at, " ".join(long)), (at + 1, b), (at + 2, " ".join(long[:-3]))]
+    least = groups({i: shingles(t, 5) for i, (_, t) in enumerate(rows)}, 80)
+    assert len(rows) > 100 and all(least[i] == i - i % 4 + (i % 2) for i in range(len(rows)))
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()) == sorted({d for d, _ in rows if d % 3 == 0})
